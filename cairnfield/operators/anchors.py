@@ -24,6 +24,7 @@ from cairnfield.constants import (
 from cairnfield.functions.geo import D2R, METERS_PER_DEGREE, finite, haversine_m
 from cairnfield.functions.text import fixed, format_residual, whole
 from cairnfield.operators.ordered import number_rows
+from cairnfield.session import cut
 
 
 def usable_anchors(anchors: DataFrame) -> DataFrame:
@@ -42,16 +43,17 @@ def anchor_moments(usable: DataFrame) -> DataFrame:
     )
 
 
-def spread_ratio(n: Column, sxx: Column, sxy: Column, syy: Column) -> Column:
-    """Minor over major singular value of centred points; 0 for fewer than three."""
-    trace = sxx + syy
-    major = (trace + F.hypot(sxx - syy, 2 * sxy)) / 2
-    minor = F.greatest(F.lit(0.0), sxx * syy - sxy * sxy) / F.nullif(major, F.lit(0.0))
-    return F.when((n >= 3) & (trace > 0) & (major > 0), F.sqrt(minor / F.nullif(major, F.lit(0.0)))).otherwise(0.0)
+def with_ratio(df: DataFrame, out: str, n: Column, sxx: str, sxy: str, syy: str) -> DataFrame:
+    """Add the minor over major singular value of centred points; 0 for fewer than three.
 
-
-def supports_affine(n: Column, sxx: Column, sxy: Column, syy: Column) -> Column:
-    return (n >= 3) & (spread_ratio(n, sxx, sxy, syy) >= MIN_SPREAD_RATIO)
+    Steps are separate columns so that generated code stays small.
+    """
+    c = F.col
+    major = (c(sxx) + c(syy) + F.hypot(c(sxx) - c(syy), 2 * c(sxy))) / 2
+    minor = F.greatest(F.lit(0.0), c(sxx) * c(syy) - c(sxy) * c(sxy))
+    return df.withColumns({"_major": major, "_minor": minor}).withColumn(
+        out, F.when((n >= 3) & (c("_major") > 0), F.sqrt(c("_minor")) / c("_major")).otherwise(0.0)
+    ).drop("_major", "_minor")
 
 
 def _without(total: str, a: str, b: str) -> Column:
@@ -67,19 +69,23 @@ def spread(anchors: DataFrame) -> DataFrame:
     return _support(usable, moments).select("map_id", "n", "ratio", "supported", "independent")
 
 
+def _with_left_out(rows: DataFrame) -> DataFrame:
+    """Add the centred sums and the spread ratio of the map without the row's own anchor."""
+    rows = rows.withColumns({
+        f"w_{a[0]}{b}" if b not in "xy" else f"w_{a}{b}": _without(f"s_{a}_{b}", a, b)
+        for a, b in (("x", "x"), ("x", "y"), ("y", "y"), ("x", "lat"), ("x", "lon"), ("y", "lat"), ("y", "lon"))
+    })
+    return with_ratio(rows, "w_ratio", F.col("n") - 1, "w_xx", "w_xy", "w_yy")
+
+
 def _support(usable: DataFrame, moments: DataFrame) -> DataFrame:
-    rows = usable.select("map_id", "x", "y").join(moments, "map_id").where("n >= 4")
-    kept = supports_affine(
-        F.col("n") - 1, _without("s_x_x", "x", "x"), _without("s_x_y", "x", "y"), _without("s_y_y", "y", "y")
-    )
-    each = rows.groupBy("map_id").agg(F.min(kept).alias("_all_kept"))
-    m = (F.col("n"), F.col("s_x_x"), F.col("s_x_y"), F.col("s_y_y"))
+    rows = _with_left_out(usable.select("map_id", "x", "y", "lat", "lon").join(moments.where("n >= 4"), "map_id"))
+    each = rows.groupBy("map_id").agg(F.min("w_ratio").alias("_least"))
+    out = with_ratio(moments.join(each, "map_id", "left"), "ratio", F.col("n"), "s_x_x", "s_x_y", "s_y_y")
     return (
-        moments.join(each, "map_id", "left")
-        .withColumn("ratio", spread_ratio(*m))
-        .withColumn("supported", supports_affine(*m))
-        .withColumn("independent", F.coalesce("_all_kept", F.lit(False)))
-        .drop("_all_kept")
+        out.withColumn("supported", F.col("ratio") >= MIN_SPREAD_RATIO)
+        .withColumn("independent", F.coalesce(F.col("_least") >= MIN_SPREAD_RATIO, F.lit(False)))
+        .drop("_least")
     )
 
 
@@ -104,37 +110,29 @@ def fit_frames(anchors: DataFrame, maps: DataFrame) -> DataFrame:
     )
 
 
-def _similarity(sxx: Column, syy: Column, sxlat: Column, sxlon: Column, sylat: Column, sylon: Column,
-                kx: Column, ky: Column, scale: Column) -> tuple[Column, Column]:
-    spread2 = (sxx + syy) / (scale * scale)
-    safe = F.when(spread2 >= PIVOT_FLOOR, spread2)
-    return (sxlon * kx - sylat * ky) / scale / safe, (sylon * kx + sxlat * ky) / scale / safe
-
-
 def _solved(df: DataFrame) -> DataFrame:
     """Similarity (p, q) and affine (e_u, e_v, n_u, n_v) coefficients in the metre frame."""
     c = F.col
     s = c("scale")
-    p, q = _similarity(
-        c("s_x_x"), c("s_y_y"), c("s_x_lat"), c("s_x_lon"), c("s_y_lat"), c("s_y_lon"), c("kx"), c("ky"), s
-    )
-    suu, suv, svv = c("s_x_x") / (s * s), c("s_x_y") / (s * s), c("s_y_y") / (s * s)
-    det = suu * svv - suv * suv
-    pivot = F.greatest(suu, F.abs(suv))
-    fine = (c("n") >= 3) & (pivot >= PIVOT_FLOOR) & (F.abs(det) >= pivot * PIVOT_FLOOR)
-    d = F.when(fine, det)
-    sue, sve = c("s_x_lon") * c("kx") / s, c("s_y_lon") * c("kx") / s
-    sun, svn = c("s_x_lat") * c("ky") / s, c("s_y_lat") * c("ky") / s
-    out = (
-        df.withColumn("p", p).withColumn("q", q)
-        .withColumn("e_u", (svv * sue - suv * sve) / d).withColumn("e_v", (suu * sve - suv * sue) / d)
-        .withColumn("n_u", (svv * sun - suv * svn) / d).withColumn("n_v", (suu * svn - suv * sun) / d)
-        .withColumn("mu", (c("m_x") - c("cx")) / s).withColumn("mv", (c("m_y") - c("cy")) / s)
+    parts = df.withColumns({
+        "_uu": c("s_x_x") / (s * s), "_uv": c("s_x_y") / (s * s), "_vv": c("s_y_y") / (s * s),
+        "_ue": c("s_x_lon") * c("kx") / s, "_ve": c("s_y_lon") * c("kx") / s,
+        "_un": c("s_x_lat") * c("ky") / s, "_vn": c("s_y_lat") * c("ky") / s,
+        "mu": (c("m_x") - c("cx")) / s, "mv": (c("m_y") - c("cy")) / s,
+    })
+    parts = parts.withColumns({"_det": c("_uu") * c("_vv") - c("_uv") * c("_uv"), "_pivot": F.greatest("_uu", F.abs("_uv"))})
+    fine = (c("n") >= 3) & (c("_pivot") >= PIVOT_FLOOR) & (F.abs("_det") >= c("_pivot") * PIVOT_FLOOR)
+    parts = parts.withColumns({"_d": F.when(fine, c("_det")), "_r": F.when(c("_uu") + c("_vv") >= PIVOT_FLOOR, c("_uu") + c("_vv"))})
+    parts = parts.withColumns({
+        "p": (c("_ue") - c("_vn")) / c("_r"), "q": (c("_ve") + c("_un")) / c("_r"),
+        "e_u": (c("_vv") * c("_ue") - c("_uv") * c("_ve")) / c("_d"), "e_v": (c("_uu") * c("_ve") - c("_uv") * c("_ue")) / c("_d"),
+        "n_u": (c("_vv") * c("_un") - c("_uv") * c("_vn")) / c("_d"), "n_v": (c("_uu") * c("_vn") - c("_uv") * c("_un")) / c("_d"),
+    }).drop("_uu", "_uv", "_vv", "_ue", "_ve", "_un", "_vn", "_det", "_pivot", "_d", "_r")
+    return (
+        parts.withColumn("det", F.coalesce(c("e_u") * c("n_v") - c("e_v") * c("n_u"), F.lit(0.0)))
+        .withColumn("has_aff", F.abs("det") > AFFINE_DET_FLOOR)
+        .withColumn("has_sim", c("p").isNotNull())
     )
-    raw = c("e_u") * c("n_v") - c("e_v") * c("n_u")
-    ok = F.abs(raw) > AFFINE_DET_FLOOR
-    out = out.withColumn("det", F.coalesce(raw, F.lit(0.0))).withColumn("has_aff", F.coalesce(ok, F.lit(False)))
-    return out.withColumn("has_sim", c("p").isNotNull())
 
 
 SIM = "array(p, q, -(p*mu + q*mv), q, -p, -(q*mu - p*mv))"
@@ -185,15 +183,15 @@ def fit_anchors(anchors: DataFrame, maps: DataFrame, tps: bool = True) -> DataFr
     no_array = F.lit(None).cast("array<double>")
     no_controls = F.lit(None).cast("array<struct<u:double,v:double>>")
     base = df.withColumn("controls", no_controls).withColumn("w_e", no_array).withColumn("w_n", no_array)
-    base = base.select(*FIT_COLUMNS)
+    # One row per map from here on; cutting keeps every later filter from repeating the algebra.
+    base = cut(base.select(*FIT_COLUMNS))
     if not tps:
         return base
     solved = fit_tps(usable, base.where("method = 'tps'"))
     joined = base.drop("controls", "w_e", "w_n").join(solved.drop("loo"), "map_id", "left")
     # A singular rubber-sheet system falls back to its companion affine.
-    return joined.withColumn(
-        "method", F.when((c("method") == "tps") & c("w_e").isNull(), "affine").otherwise(c("method"))
-    ).select(*FIT_COLUMNS)
+    method = F.when((c("method") == "tps") & c("w_e").isNull(), "affine").otherwise(c("method"))
+    return cut(joined.withColumn("method", method).select(*FIT_COLUMNS))
 
 
 def _kernel(r2: np.ndarray) -> np.ndarray:
@@ -225,7 +223,7 @@ def _solve_tps(table: pa.Table) -> pa.Table:
         inverse = np.linalg.inv(full)
     except np.linalg.LinAlgError:
         inverse = None
-    if inverse is not None and np.isfinite(inverse).all() and np.linalg.cond(full) < 1e15:
+    if inverse is not None and np.isfinite(inverse).all() and np.abs(full).max() * np.abs(inverse).max() < 1e15:
         zero = np.zeros(3)
         w_e = np.linalg.solve(full, np.concatenate([east, zero]))
         w_n = np.linalg.solve(full, np.concatenate([north, zero]))
@@ -432,30 +430,37 @@ def loo_residuals(anchors: DataFrame, fits: DataFrame, maps: DataFrame) -> DataF
     rows = usable.join(moments, "map_id").join(
         fits.where("ok").select("map_id", "method", "requested", "anchor_count", "scale", "cx", "cy"), "map_id"
     )
-    n, dx, dy = c("n"), c("x") - c("m_x"), c("y") - c("m_y")
-    left = {k: _without(f"s_{a}_{b}", a, b) for k, (a, b) in {
-        "xx": ("x", "x"), "xy": ("x", "y"), "yy": ("y", "y"), "xlat": ("x", "lat"), "xlon": ("x", "lon"),
-        "ylat": ("y", "lat"), "ylon": ("y", "lon")}.items()}
-    rows = rows.withColumns({f"w_{k}": v for k, v in left.items()})
-    checkable = (c("method") == "similarity") | supports_affine(n - 1, c("w_xx"), c("w_xy"), c("w_yy"))
-    rows = rows.where(checkable)
+    rows = _with_left_out(rows).where((c("method") == "similarity") | (c("w_ratio") >= MIN_SPREAD_RATIO))
+    n = c("n")
+    rows = rows.withColumns({"_dx": c("x") - c("m_x"), "_dy": c("y") - c("m_y"), "_det": c("s_x_x") * c("s_y_y") - c("s_x_y") * c("s_x_y")})
     # Affine: residual over (1 - leverage), in degrees per axis.
-    det = c("s_x_x") * c("s_y_y") - c("s_x_y") * c("s_x_y")
-    leverage = 1 / n + (c("s_y_y") * dx * dx - 2 * c("s_x_y") * dx * dy + c("s_x_x") * dy * dy) / det
+    slope = {}
+    for name in ("lat", "lon"):
+        sx, sy = c(f"s_x_{name}"), c(f"s_y_{name}")
+        slope[f"_bx_{name}"] = (c("s_y_y") * sx - c("s_x_y") * sy) / c("_det")
+        slope[f"_by_{name}"] = (c("s_x_x") * sy - c("s_x_y") * sx) / c("_det")
+    pull = c("s_y_y") * c("_dx") * c("_dx") - 2 * c("s_x_y") * c("_dx") * c("_dy") + c("s_x_x") * c("_dy") * c("_dy")
+    rows = rows.withColumns({**slope, "_free": 1 - 1 / n - pull / c("_det")})
 
     def axis(name: str) -> Column:
-        sx, sy = c(f"s_x_{name}"), c(f"s_y_{name}")
-        bx, by = (c("s_y_y") * sx - c("s_x_y") * sy) / det, (c("s_x_x") * sy - c("s_x_y") * sx) / det
-        miss = c(name) - (c(f"m_{name}") + bx * dx + by * dy)
-        return c(name) - miss / (1 - leverage)
+        miss = c(name) - c(f"m_{name}") - c(f"_bx_{name}") * c("_dx") - c(f"_by_{name}") * c("_dy")
+        return c(name) - miss / c("_free")
 
     # Similarity: means and sums without the anchor give the refit in its own frame.
-    lat0, lon0 = (n * c("m_lat") - c("lat")) / (n - 1), (n * c("m_lon") - c("lon")) / (n - 1)
-    mx, my = (n * c("m_x") - c("x")) / (n - 1), (n * c("m_y") - c("y")) / (n - 1)
-    kx, ky = F.cos(lat0 * D2R) * METERS_PER_DEGREE, F.lit(METERS_PER_DEGREE)
-    p, q = _similarity(c("w_xx"), c("w_yy"), c("w_xlat"), c("w_xlon"), c("w_ylat"), c("w_ylon"), kx, ky, c("scale"))
-    u, v = (c("x") - mx) / c("scale"), (c("y") - my) / c("scale")
-    sim_lat, sim_lon = lat0 + (q * u - p * v) / ky, lon0 + (p * u + q * v) / kx
+    rows = rows.withColumns({
+        f"_l_{name}": (n * c(f"m_{name}") - c(name)) / (n - 1) for name in ("lat", "lon", "x", "y")
+    })
+    rows = rows.withColumns({
+        "_kx": F.cos(c("_l_lat") * D2R) * METERS_PER_DEGREE, "_u": (c("x") - c("_l_x")) / c("scale"),
+        "_v": (c("y") - c("_l_y")) / c("scale"),
+        "_rr": F.when((c("w_xx") + c("w_yy")) / (c("scale") * c("scale")) >= PIVOT_FLOOR, (c("w_xx") + c("w_yy")) / c("scale")),
+    })
+    rows = rows.withColumns({
+        "_p": (c("w_xlon") * c("_kx") - c("w_ylat") * METERS_PER_DEGREE) / c("_rr"),
+        "_q": (c("w_ylon") * c("_kx") + c("w_xlat") * METERS_PER_DEGREE) / c("_rr"),
+    })
+    sim_lat = c("_l_lat") + (c("_q") * c("_u") - c("_p") * c("_v")) / METERS_PER_DEGREE
+    sim_lon = c("_l_lon") + (c("_p") * c("_u") + c("_q") * c("_v")) / c("_kx")
     is_sim = c("method") == "similarity"
     flat = rows.where("method <> 'tps' or n < 5").select(
         "map_id", "anchor_id", "lat", "lon",

@@ -385,37 +385,55 @@ def project_points(points: DataFrame, v: DataFrame, point_keys: Sequence[str]) -
 
 
 def _interval_bounds(df: DataFrame, tol: float) -> DataFrame:
-    """Parameter intervals (lo, hi) of segment 1 inside the capsule around segment 2."""
+    """Parameter intervals (lo, hi) of segment 1 inside the capsule around segment 2.
+
+    The capsule is two discs and the strip between them. Terms are built up column by column, so
+    each is computed once per pair.
+    """
     c = F.col
-    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
-    vx, vy = c("u2") - c("u1"), c("w2") - c("w1")
-    dd, vv = dx * dx + dy * dy, vx * vx + vy * vy
-
-    def disc(ex: Column, ey: Column) -> Column:
-        ox, oy = c("x1") - ex, c("y1") - ey
-        along = ox * dx + oy * dy
-        root = along * along - dd * (ox * ox + oy * oy - tol * tol)
-        r = F.sqrt(F.when(root >= 0, root))
-        return F.struct(F.greatest(F.lit(0.0), (-along - r) / dd).alias("lo"), F.least(F.lit(1.0), (-along + r) / dd).alias("hi"), root.alias("ok"))
-
-    def band(value: Column, slope: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        flat = F.abs(slope) < 1e-12
-        inside = (value >= low) & (value <= high)
-        a, b = (low - value) / F.nullif(slope, F.lit(0.0)), (high - value) / F.nullif(slope, F.lit(0.0))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = df.withColumns({
+        "_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_vx": c("u2") - c("u1"), "_vy": c("w2") - c("w1"),
+        "_wx": c("x1") - c("u1"), "_wy": c("y1") - c("w1"), "_zx": c("x1") - c("u2"), "_zy": c("y1") - c("w2"),
+    })
+    rows = rows.withColumns({
+        "_dd": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_vv": c("_vx") * c("_vx") + c("_vy") * c("_vy"),
+        "_p1": c("_wx") * c("_dx") + c("_wy") * c("_dy"), "_p2": c("_zx") * c("_dx") + c("_zy") * c("_dy"),
+        "_lv": c("_wx") * c("_vx") + c("_wy") * c("_vy"), "_ls": c("_dx") * c("_vx") + c("_dy") * c("_vy"),
+        "_cv": c("_wx") * c("_vy") - c("_wy") * c("_vx"), "_cs": c("_dx") * c("_vy") - c("_dy") * c("_vx"),
+    })
+    rows = rows.withColumns({
+        "_k1": c("_p1") * c("_p1") - c("_dd") * (c("_wx") * c("_wx") + c("_wy") * c("_wy") - tol * tol),
+        "_k2": c("_p2") * c("_p2") - c("_dd") * (c("_zx") * c("_zx") + c("_zy") * c("_zy") - tol * tol),
+        "_reach": F.sqrt("_vv") * tol,
+    })
+    root = {f"_q{i}": F.sqrt(F.greatest(c(f"_k{i}"), zero)) for i in (1, 2)}
+    edge = {
+        "_la": (zero - c("_lv")) / F.nullif(c("_ls"), zero), "_lb": (c("_vv") - c("_lv")) / F.nullif(c("_ls"), zero),
+        "_ca": (-c("_reach") - c("_cv")) / F.nullif(c("_cs"), zero), "_cb": (c("_reach") - c("_cv")) / F.nullif(c("_cs"), zero),
+        "_lin": (c("_lv") >= 0) & (c("_lv") <= c("_vv")), "_cin": F.abs("_cv") <= c("_reach"),
+        "_lflat": F.abs("_ls") < 1e-12, "_cflat": F.abs("_cs") < 1e-12,
+    }
+    rows = rows.withColumns({**root, **edge})
+
+    def band(k: str) -> tuple[Column, Column]:
         return (
-            F.when(flat, F.when(inside, 0.0).otherwise(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(a, b))),
-            F.when(flat, F.when(inside, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(a, b))),
+            F.when(c(f"_{k}flat"), F.when(c(f"_{k}in"), 0.0).otherwise(1.0)).otherwise(F.greatest(zero, F.least(f"_{k}a", f"_{k}b"))),
+            F.when(c(f"_{k}flat"), F.when(c(f"_{k}in"), 1.0).otherwise(0.0)).otherwise(F.least(one, F.greatest(f"_{k}a", f"_{k}b"))),
         )
 
-    wx, wy = c("x1") - c("u1"), c("y1") - c("w1")
-    long_lo, long_hi = band(wx * vx + wy * vy, dx * vx + dy * vy, F.lit(0.0), vv)
-    reach = F.sqrt(vv) * tol
-    side_lo, side_hi = band(wx * vy - wy * vx, dx * vy - dy * vx, -reach, reach)
-    body = F.struct(
-        F.greatest(long_lo, side_lo).alias("lo"), F.least(long_hi, side_hi).alias("hi"), F.when(vv > 0, 1.0).otherwise(-1.0).alias("ok")
-    )
-    rows = df.where(dd > 0).withColumn("_i", F.explode(F.array(disc(c("u1"), c("w1")), disc(c("u2"), c("w2")), body)))
-    return rows.where("_i.ok >= 0 and _i.hi > _i.lo").withColumn("lo", c("_i.lo")).withColumn("hi", c("_i.hi")).drop("_i")
+    (l1, l2), (c1, c2) = band("l"), band("c")
+    disc = {}
+    for i in (1, 2):
+        hit = c(f"_k{i}") >= 0
+        disc[f"_lo{i}"] = F.when(hit, F.greatest(zero, (-c(f"_p{i}") - c(f"_q{i}")) / c("_dd")))
+        disc[f"_hi{i}"] = F.when(hit, F.least(one, (-c(f"_p{i}") + c(f"_q{i}")) / c("_dd")))
+    strip = {"_lo3": F.when(c("_vv") > 0, F.greatest(l1, c1)), "_hi3": F.when(c("_vv") > 0, F.least(l2, c2))}
+    rows = rows.where("_dd > 0").withColumns({**disc, **strip})
+    keep = [n for n in df.columns]
+    part = [F.when(c(f"_hi{i}") > c(f"_lo{i}"), F.struct(c(f"_lo{i}").alias("lo"), c(f"_hi{i}").alias("hi"))) for i in (1, 2, 3)]
+    rows = rows.select(*keep, F.explode(F.array_compact(F.array(*part))).alias("_i"))
+    return rows.select(*keep, "_i.lo", "_i.hi")
 
 
 def capsule_intervals(a: DataFrame, b: DataFrame, tol: float, keys: Sequence[str], cell_size: float = 64.0) -> DataFrame:

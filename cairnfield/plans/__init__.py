@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits"]
+GROUPS = ["fits", "linework"]
 
 
 def load_queries() -> None:

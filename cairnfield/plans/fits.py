@@ -12,6 +12,7 @@ from cairnfield.plans import corpus as C
 from cairnfield.plans.corpus import with_views
 from cairnfield.plans.registry import query
 from cairnfield.plans.sqlparts import AFF, SIM, haversine
+from cairnfield.session import cut
 
 
 def r(col, digits: int):
@@ -38,10 +39,10 @@ def _(spark, sf):
     return A.usable_anchors(C.anchors(spark, sf)).select("map_id", "anchor_id", "x", "y", r(F.col("lat"), 7).alias("lat"), r(F.col("lon"), 7).alias("lon"))
 
 
-@query("g06_fit_frames", with_views("coef", """SELECT map_id, n AS anchor_count, round(lat0, 7) AS lat0, round(lon0, 7) AS lon0, round(kx, 3) AS kx, round(ky, 3) AS ky, cx, cy, scale FROM coef"""))
+@query("g06_fit_frames", with_views("coef", """SELECT map_id, n AS anchor_count, round(lat0, 8) AS lat0, round(lon0, 8) AS lon0, round(kx, 3) AS kx, round(ky, 3) AS ky, cx, cy, scale FROM coef"""))
 def _(spark, sf):
     f = A.fit_frames(C.anchors(spark, sf), C.maps(spark, sf))
-    return f.select("map_id", "anchor_count", *[r(F.col(c), 7).alias(c) for c in ("lat0", "lon0")], *[r(F.col(c), 3).alias(c) for c in ("kx", "ky")], "cx", "cy", "scale")
+    return f.select("map_id", "anchor_count", *[r(F.col(c), 8).alias(c) for c in ("lat0", "lon0")], *[r(F.col(c), 3).alias(c) for c in ("kx", "ky")], "cx", "cy", "scale")
 
 
 def _coefs(df):
@@ -109,7 +110,7 @@ def _flagged(spark, sf):
     a = C.anchors(spark, sf)
     fits = flat(straight(spark, sf))
     q = A.fit_quality(a, fits)
-    return q, A.outliers(a, q, A.loo_residuals(a, fits, C.maps(spark, sf)))
+    return q, A.outliers(a, q, cut(A.loo_residuals(a, fits, C.maps(spark, sf))))
 
 
 @query("g15_outliers", _OUTLIER_SQL)
@@ -138,7 +139,7 @@ def _(spark, sf):
     a, m = C.anchors(spark, sf), C.maps(spark, sf)
     fits = straight(spark, sf)
     q = A.fit_quality(a, fits)
-    rows = A.outliers(a, q, A.loo_residuals(a, flat(fits), m))
+    rows = A.outliers(a, q, cut(A.loo_residuals(a, flat(fits), m)))
     counts = a.groupBy("map_id").agg(F.count("*").alias("anchors"))
     return A.fit_status(q, rows, counts)
 

@@ -7,7 +7,7 @@ import math
 from cairnfield.plans.corpus import VIEWS
 
 D2R = repr(math.pi / 180)
-MDEG = repr(6378137.0 * math.pi / 180)
+MDEG = repr(6378137.0 * math.pi / 180) + "e0"
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -134,3 +134,53 @@ VIEWS["loo"] = (
           AND (f.method = 'similarity' OR ({ratio('n - 1', 'wxx', 'wxy', 'wyy')}) >= 0.08e0)))))
 WHERE plat IS NOT NULL AND plon IS NOT NULL""",
 )
+
+
+def on_segment(px: str, py: str, x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> str:
+    """Clamped parameter of the nearest point of a segment."""
+    len2 = f"(pow({x2} - {x1}, 2) + pow({y2} - {y1}, 2))"
+    return (
+        f"CASE WHEN {len2} = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, (({px} - {x1}) * ({x2} - {x1}) + "
+        f"({py} - {y1}) * ({y2} - {y1})) / {len2})) END"
+    )
+
+
+VIEWS["ends"] = (
+    ["trail_vertices"],
+    """SELECT v.map_id, v.feature_id, s.side, CASE s.side WHEN 0 THEN ax ELSE zx END AS x, CASE s.side WHEN 0 THEN ay ELSE zy END AS y, v.feature_id * 2 + s.side AS e
+FROM (SELECT map_id, feature_id, arg_min(x, idx) AS ax, arg_min(y, idx) AS ay, arg_max(x, idx) AS zx, arg_max(y, idx) AS zy FROM trail_vertices GROUP BY map_id, feature_id HAVING COUNT(*) >= 2) v,
+  (SELECT unnest([0, 1]) AS side) s""",
+)
+VIEWS["endpairs"] = (
+    ["ends"],
+    """SELECT a.map_id, a.e AS a, b.e AS b, a.feature_id, a.side, b.feature_id AS bf, b.side AS bs, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS d2
+FROM ends a JOIN ends b ON a.map_id = b.map_id AND a.feature_id <> b.feature_id AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8 WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 64""",
+)
+VIEWS["clusters"] = (
+    ["ends", "endpairs"],
+    """WITH RECURSIVE reach(src, dst) AS (SELECT e, e FROM ends UNION SELECT r.src, p.b FROM reach r JOIN endpairs p ON p.a = r.dst)
+SELECT e.*, m.size, m.cx, m.cy FROM ends e JOIN (SELECT src, COUNT(*) AS size, AVG(x) AS cx, AVG(y) AS cy FROM reach JOIN ends ON ends.e = reach.dst GROUP BY src) m ON m.src = e.e""",
+)
+VIEWS["hits"] = (
+    ["clusters", "trail_segs"],
+    f"""SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY e ORDER BY d2, onf, seg) AS rn FROM (SELECT *, pow(x - hx, 2) + pow(y - hy, 2) AS d2 FROM (
+  SELECT *, x1 + t * (x2 - x1) AS hx, y1 + t * (y2 - y1) AS hy FROM (SELECT c.map_id, c.feature_id, c.side, c.e, c.x, c.y, s.feature_id AS onf, s.seg, s.x1, s.y1, s.x2, s.y2, {on_segment('c.x', 'c.y')} AS t
+    FROM clusters c JOIN trail_segs s ON s.map_id = c.map_id AND s.feature_id <> c.feature_id AND c.x BETWEEN least(x1, x2) - 8 AND greatest(x1, x2) + 8 AND c.y BETWEEN least(y1, y2) - 8 AND greatest(y1, y2) + 8
+    WHERE c.size = 1 AND (x1 <> x2 OR y1 <> y2)))) WHERE d2 <= 64) WHERE rn = 1""",
+)
+VIEWS["facts"] = (
+    ["net_vertices"],
+    """SELECT a.map_id, a.feature_id, a.kind, n, nd, fx, fy, zx, zy, CASE WHEN n >= 3 THEN (COALESCE(s, 0e0) + CASE WHEN fx <> zx OR fy <> zy THEN zx * fy - fx * zy ELSE 0e0 END) / 2 ELSE 0e0 END AS area
+FROM (SELECT map_id, feature_id, kind, COUNT(*) AS n, COUNT(DISTINCT x * 10000 + y) AS nd, arg_min(x, idx) AS fx, arg_min(y, idx) AS fy, arg_max(x, idx) AS zx, arg_max(y, idx) AS zy FROM net_vertices GROUP BY map_id, feature_id, kind) a
+LEFT JOIN (SELECT feature_id, SUM(x1 * y2 - x2 * y1) AS s FROM (SELECT feature_id, x AS x1, y AS y1, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2 FROM net_vertices WINDOW w AS (PARTITION BY feature_id ORDER BY idx)) GROUP BY feature_id) c ON c.feature_id = a.feature_id""",
+)
+WINDING = "CASE WHEN area > 1e-6 THEN 'clockwise' WHEN area < -1e-6 THEN 'counterclockwise' END"
+VIEWS["cum"] = (
+    ["trail_vertices"],
+    """SELECT map_id, feature_id, idx, x, y, SUM(step) OVER (PARTITION BY feature_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS dist FROM (
+  SELECT *, COALESCE(sqrt(pow(x - LAG(x) OVER w, 2) + pow(y - LAG(y) OVER w, 2)), 0e0) AS step FROM trail_vertices WINDOW w AS (PARTITION BY feature_id ORDER BY idx))""",
+)
+VIEWS["msegs"] = (
+    ["cum"],
+    """SELECT * FROM (SELECT map_id, feature_id, idx AS seg, x AS x1, y AS y1, dist AS d1, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2, LEAD(dist) OVER w AS d2 FROM cum WINDOW w AS (PARTITION BY feature_id ORDER BY idx)) WHERE x2 IS NOT NULL""",
+)
