@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits", "linework"]
+GROUPS = ["fits", "linework", "network"]
 
 
 def load_queries() -> None:

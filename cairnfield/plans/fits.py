@@ -39,10 +39,10 @@ def _(spark, sf):
     return A.usable_anchors(C.anchors(spark, sf)).select("map_id", "anchor_id", "x", "y", r(F.col("lat"), 7).alias("lat"), r(F.col("lon"), 7).alias("lon"))
 
 
-@query("g06_fit_frames", with_views("coef", """SELECT map_id, n AS anchor_count, round(lat0, 8) AS lat0, round(lon0, 8) AS lon0, round(kx, 3) AS kx, round(ky, 3) AS ky, cx, cy, scale FROM coef"""))
+@query("g06_fit_frames", with_views("coef", """SELECT map_id, n AS anchor_count, round(lat0, 11) AS lat0, round(lon0, 11) AS lon0, round(kx, 3) AS kx, round(ky, 3) AS ky, cx, cy, scale FROM coef"""))
 def _(spark, sf):
     f = A.fit_frames(C.anchors(spark, sf), C.maps(spark, sf))
-    return f.select("map_id", "anchor_count", *[r(F.col(c), 8).alias(c) for c in ("lat0", "lon0")], *[r(F.col(c), 3).alias(c) for c in ("kx", "ky")], "cx", "cy", "scale")
+    return f.select("map_id", "anchor_count", *[r(F.col(c), 11).alias(c) for c in ("lat0", "lon0")], *[r(F.col(c), 3).alias(c) for c in ("kx", "ky")], "cx", "cy", "scale")
 
 
 def _coefs(df):
