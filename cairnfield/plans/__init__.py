@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits", "linework", "network"]
+GROUPS = ["fits", "linework", "network", "imagery"]
 
 
 def load_queries() -> None:
