@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits", "linework", "network", "imagery"]
+GROUPS = ["fits", "linework", "network", "imagery", "documents"]
 
 
 def load_queries() -> None:
