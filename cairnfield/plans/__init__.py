@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits", "linework", "network", "imagery", "documents"]
+GROUPS = ["fits", "linework", "network", "imagery", "documents", "raster"]
 
 
 def load_queries() -> None:
