@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["fits", "linework", "network", "imagery", "documents", "raster"]
+GROUPS = ["fits", "linework", "network", "imagery", "documents", "raster", "streams"]
 
 
 def load_queries() -> None:

@@ -193,9 +193,9 @@ def _(spark, sf):
 
 
 @query("w05_union_length", with_views("segs", """SELECT map_id, SUM(greatest(hi - greatest(lo, done), 0e0)) AS covered FROM (SELECT *, COALESCE(MAX(hi) OVER (PARTITION BY map_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS done
-  FROM (SELECT map_id, least(x1, x2) AS lo, greatest(x1, x2) AS hi FROM segs WHERE kind = 'trail' AND abs(x1 - x2) < 5 AND x1 <> x2)) GROUP BY map_id"""))
+  FROM (SELECT map_id, least(x1, x2) AS lo, greatest(x1, x2) AS hi FROM segs WHERE kind = 'trail' AND x1 <> x2)) GROUP BY map_id"""))
 def _(spark, sf):
-    s = L.segments(C.trail_vertices(spark, sf)).where("abs(x1 - x2) < 5 and x1 <> x2")
+    s = L.segments(C.trail_vertices(spark, sf)).where("x1 <> x2")
     return L.union_length(s.select("map_id", F.least("x1", "x2").alias("lo"), F.greatest("x1", "x2").alias("hi")), ["map_id"])
 
 

@@ -171,9 +171,10 @@ def _(spark, sf):
 
 
 def _line_vertices(spark, sf):
-    """Lines on the rasters: one per column pair of thirty, running down the map."""
-    px = C.pixels(spark, sf).where("x % 5 = 0 and y % 33 = 0")
-    return px.select("map_id", F.floor(c("x") / 5).cast("bigint").alias("line"), F.floor(c("y") / 33).cast("bigint").alias("idx"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y"))
+    """Every pixel column as a line that runs down its map."""
+    return C.pixels(spark, sf).select(
+        "map_id", c("x").cast("bigint").alias("line"), c("y").cast("bigint").alias("idx"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y")
+    )
 
 
 _BIN = "((r >> 4) << 8) | ((g >> 4) << 4) | (b >> 4)"
@@ -238,12 +239,11 @@ def _(spark, sf):
     return P.blank_tiles(s)
 
 
-_PTS = "(SELECT map_id, x * 1000 + y AS pid, x + 0.3e0 AS px, y + 0.2e0 AS py FROM pixels WHERE x % 7 = 3 AND y % 5 = 2)"
+_PTS = "(SELECT map_id, x * 1000 + y AS pid, x + 0.3e0 AS px, y + 0.2e0 AS py FROM pixels)"
 
 
 def _probe(spark, sf):
-    p = C.pixels(spark, sf).where("x % 7 = 3 and y % 5 = 2")
-    return p.select("map_id", (c("x") * 1000 + c("y")).alias("pid"), (c("x") + F.lit(0.3)).alias("x"), (c("y") + F.lit(0.2)).alias("y"))
+    return C.pixels(spark, sf).select("map_id", (c("x") * 1000 + c("y")).alias("pid"), (c("x") + F.lit(0.3)).alias("x"), (c("y") + F.lit(0.2)).alias("y"))
 
 
 @query("j12_snap_to_ink", with_views("pixels", f"""SELECT map_id, pid, x AS ink_x, y AS ink_y, round(s, 5) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, pid ORDER BY s, y, x) AS rn FROM (SELECT p.map_id, pid, q.x, q.y, sqrt(pow(q.x - px, 2) + pow(q.y - py, 2)) + sqrt(pow(r - 200, 2) + pow(g - 30, 2) + pow(b - 30, 2)) / 40e0 * 6 * 0.5e0 AS s
@@ -256,7 +256,7 @@ def _(spark, sf):
 @query("j13_pick_ink", with_views("pixels", f"""WITH p AS {_PTS}, q AS (SELECT p.map_id, p.pid, CAST(floor(px + 0.5e0) AS INTEGER) AS ax, CAST(floor(py + 0.5e0) AS INTEGER) AS ay, x, y, r, g, b FROM p JOIN pixels z ON z.map_id = p.map_id AND abs(z.x - floor(px + 0.5e0)) <= 6 AND abs(z.y - floor(py + 0.5e0)) <= 6),
 m AS (SELECT map_id, pid, AVG(r) AS mr, AVG(g) AS mg, AVG(b) AS mb FROM q GROUP BY map_id, pid),
 s AS (SELECT q.*, sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) - sqrt(pow(x - ax, 2) + pow(y - ay, 2)) * 2 AS sc FROM q JOIN m ON m.map_id = q.map_id AND m.pid = q.pid)
-SELECT w.map_id, w.pid, CASE WHEN sc >= 10 THEN w.r ELSE k.r END AS r, CASE WHEN sc >= 10 THEN w.g ELSE k.g END AS g, CASE WHEN sc >= 10 THEN w.b ELSE k.b END AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, pid ORDER BY sc DESC, y, x) AS rn FROM s WHERE pow(x - ax, 2) + pow(y - ay, 2) <= 9) w
+SELECT w.map_id, w.pid, CASE WHEN w.sc >= 10 THEN w.r ELSE k.r END AS r, CASE WHEN w.sc >= 10 THEN w.g ELSE k.g END AS g, CASE WHEN w.sc >= 10 THEN w.b ELSE k.b END AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, pid ORDER BY sc DESC, y, x) AS rn FROM s WHERE pow(x - ax, 2) + pow(y - ay, 2) <= 9) w
 JOIN (SELECT * FROM s WHERE x = ax AND y = ay) k ON k.map_id = w.map_id AND k.pid = w.pid WHERE rn = 1"""))
 def _(spark, sf):
     return P.pick_ink(_probe(spark, sf), C.pixels(spark, sf), ["pid"], 3.0)
