@@ -432,7 +432,7 @@ def loo_residuals(anchors: DataFrame, fits: DataFrame, maps: DataFrame) -> DataF
     )
     rows = _with_left_out(rows).where((c("method") == "similarity") | (c("w_ratio") >= MIN_SPREAD_RATIO))
     n = c("n")
-    rows = rows.withColumns({"_dx": c("x") - c("m_x"), "_dy": c("y") - c("m_y"), "_det": c("s_x_x") * c("s_y_y") - c("s_x_y") * c("s_x_y")})
+    rows = rows.withColumns({"_dx": c("x") - c("m_x"), "_dy": c("y") - c("m_y"), "_det": F.nullif(c("s_x_x") * c("s_y_y") - c("s_x_y") * c("s_x_y"), F.lit(0.0))})
     # Affine: residual over (1 - leverage), in degrees per axis.
     slope = {}
     for name in ("lat", "lon"):
@@ -440,7 +440,7 @@ def loo_residuals(anchors: DataFrame, fits: DataFrame, maps: DataFrame) -> DataF
         slope[f"_bx_{name}"] = (c("s_y_y") * sx - c("s_x_y") * sy) / c("_det")
         slope[f"_by_{name}"] = (c("s_x_x") * sy - c("s_x_y") * sx) / c("_det")
     pull = c("s_y_y") * c("_dx") * c("_dx") - 2 * c("s_x_y") * c("_dx") * c("_dy") + c("s_x_x") * c("_dy") * c("_dy")
-    rows = rows.withColumns({**slope, "_free": 1 - 1 / n - pull / c("_det")})
+    rows = rows.withColumns({**slope, "_free": F.nullif(1 - 1 / n - pull / c("_det"), F.lit(0.0))})
 
     def axis(name: str) -> Column:
         miss = c(name) - c(f"m_{name}") - c(f"_bx_{name}") * c("_dx") - c(f"_by_{name}") * c("_dy")
