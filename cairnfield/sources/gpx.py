@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cairnfield.constants import DISPLAY_POINTS, LARGE_GPX_BYTES, LARGE_GPX_POINTS, MIN_DISPLAY_BUDGET
 from cairnfield.operators.ordered import chunk_of, number_rows, running
@@ -13,7 +12,7 @@ from cairnfield.session import cut
 _POINT = (
     "STRUCT<_lat: STRING, _lon: STRING, name: STRING, desc: STRING, ele: STRING, time: STRING>"
 )
-GPX_SCHEMA = T.StructType.fromDDL(
+GPX_SCHEMA = (
     f"wpt ARRAY<{_POINT}>, rte ARRAY<STRUCT<name: STRING, rtept: ARRAY<{_POINT}>>>,"
     f" trk ARRAY<STRUCT<name: STRING, trkseg: ARRAY<STRUCT<trkpt: ARRAY<{_POINT}>>>>>"
 )
