@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, grams, mix, slices, table
+from cairnfield.llm.common import Texts, grams, mix, slices
 from cairnfield.operators.graph import connected_components
 from cairnfield.session import cut
 
-__all__ = ["near_copies", "table"]
-
 SHINGLE = 5
 #: Similarity as a fraction, so that the exact test needs no rounding: shared * 5 >= 4 * union.
 OVER, UNDER = 4, 5
@@ -61,6 +59,11 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, own, np.searchsorted(own, np.arange(len(n) + 1))
 
 
+def fingerprint(own: np.ndarray) -> list[int]:
+    """Two 64-bit sums that only depend on the set."""
+    return [int(mix(own ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 13)]
+
+
 def runs_needed(recall: float, similarity: float, levels: int) -> int:
     """Runs after which two sets of the given similarity have met in a deepest bucket with the given chance.
 
@@ -110,8 +113,7 @@ def _profiles(runs: int):
                         low = np.minimum(low, (own[None, b : b + 4096] * seeds[:, None] ^ (own[None, b : b + 4096] >> np.uint64(29))).min(1))
                     sketch = (mix(low) >> np.uint64(32)).astype(np.uint32)
                     depth, parents, paths = _paths(own, len(own), runs)
-                    same = [int(mix(own ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 13)]
-                    out.append((i, len(own), *same, sketch.tobytes(), bytes(depth), parents, paths))
+                    out.append((i, len(own), *fingerprint(own), sketch.tobytes(), bytes(depth), parents, paths))
                 if out:
                     kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=[x.split()[0] for x in PROFILE.split(", ")])
@@ -166,8 +168,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "body"):
             value, _, at = shingles(Texts(part.column("body")))
-            held = [value[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("blocks"), pa.array(held, pa.binary())], names=["id", "cluster", "blocks", "tokens"])
+            held = [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            # Of rows that repeat an id, only those with the set that counts.
+            ok = pa.array([fingerprint(x)[0] == s for x, s in zip(held, part.column("same1").to_pylist(), strict=True)])
+            cols = [part.column(c) for c in ("id", "cluster", "blocks")] + [pa.array([x.tobytes() for x in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "cluster", "blocks", "tokens"]).filter(ok)
 
 
 def _count(rows: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -214,7 +219,7 @@ def _count(rows: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[np.ndarr
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members, i, j in zip(batch.column("members").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-            rows = sorted((m["id"], m["block"], m["tokens"]) for m in members)
+            rows = sorted({m["id"]: (m["id"], m["block"], m["tokens"]) for m in members}.values())
             if len(rows) < 2 or len({r[1] for r in rows}) < 1 + (i != j):
                 continue
             ids, links, edges = _count(rows, i, j)
@@ -228,12 +233,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(reps: DataFrame, clusters: DataFrame) -> DataFrame:
     """Exact comparison inside clusters: rows (a, null, number of links) and links (a, b, 0) that join what is linked.
 
-    ``reps`` has (id, body), ``clusters`` (id, n, cluster). A cluster falls into blocks by a hash of
+    ``reps`` has (id, body), ``clusters`` (id, n, same1, cluster). A cluster falls into blocks by a hash of
     the id, and every two of its blocks meet in one place.
     """
     weight = clusters.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    known = clusters.join(weight, "cluster").select("id", "cluster", "blocks")
-    sets = reps.join(known, "id").select("id", "cluster", "blocks", "body").mapInArrow(_sets, "id long, cluster long, blocks int, tokens binary")
+    known = clusters.join(weight, "cluster").select("id", "same1", "cluster", "blocks")
+    sets = reps.join(known, "id").select("id", "same1", "cluster", "blocks", "body").mapInArrow(_sets, "id long, cluster long, blocks int, tokens binary")
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks").cast("long")).cast("int")
     dealt = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "block", "tokens").alias("m"))
@@ -259,7 +264,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rec
     heads = same.select(F.col("same_id").alias("id"), "same1", "same2", "n")
     reps = profiles.join(heads.select("id", "same1", "same2"), ["id", "same1", "same2"], "left_semi")
     clusters = connected_components(candidate_links(reps)).select("id", F.col("root").alias("cluster"))
-    checked = cut(verified(slim.select("id", "body"), cut(clusters.join(heads.select("id", "n"), "id"))))
+    checked = cut(verified(slim.select("id", "body"), cut(clusters.join(heads.select("id", "n", "same1"), "id"))))
     joined = connected_components(checked.where("b is not null").select("a", "b")).select(F.col("id").alias("same_id"), F.col("root").alias("class_id"))
     links = checked.where("b is null").groupBy(F.col("a").alias("same_id")).agg(F.sum("n").alias("n_links"))
     info = same.join(joined, "same_id", "left").join(links, "same_id", "left")

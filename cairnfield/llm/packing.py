@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnfield.llm.common import fresh, slices
+from cairnfield.session import cut
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -22,6 +24,16 @@ REMEMBERED = 600_000
 GROUP = 200_000
 
 
+#: ASCII marks that may follow a word in its chunk.
+MARKS = b".,!?;:)"
+
+
+def _plain(head: bytes) -> bool:
+    """Whether a chunk is letters alone that normalising leaves as they are."""
+    s = head.decode()
+    return s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)
+
+
 class ChunkTokenizer:
     """Ids of whole texts, remembered by blank-separated chunk.
 
@@ -38,8 +50,45 @@ class ChunkTokenizer:
         self.inner = Tokenizer.from_file(path)
         same = [self.inner.encode(x, add_special_tokens=False).ids for x in ("ABCXYZ'S", "abcxyz's")]
         self.lowers = same[0] == same[1]
-        self.mark = self.inner.encode("\0", add_special_tokens=False).ids
         self.forget()
+        self._plain_words()
+
+    def _plain_words(self) -> None:
+        """A tokenizer of the same model for words of letters alone, where the vocabulary marks word ends.
+
+        For those, normalising and finding words in the text are the larger part of the work, and
+        both leave them as they are.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.plain = None
+        vocab = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+        if not self.lowers or not self.ends.any():
+            return
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The letters that stand for bytes: itself for an ASCII one, by pairs for the others.
+        self.letters = {k: k for k in range(128)}
+        for k in range(128, 2048):
+            raw = chr(k).encode()
+            shown = byte_level.pre_tokenize_str(chr(k))[0][0]
+            self.letters.update(zip(raw, map(ord, shown), strict=True))
+        for k in range(0xE0, 0xF5):  # lead bytes of longer letters
+            lead = {0xE0: 0x800, 0xED: 0xD000}.get(k, (k & 15) << 12) if k < 0xF0 else max(0x10000, (k & 7) << 18)
+            self.letters[k] = ord(byte_level.pre_tokenize_str(chr(lead))[0][0][0])
+        plain = Tokenizer.from_str(self.inner.to_str())
+        plain.normalizer, plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        probe = [b"straight", "größe".encode(), "что".encode(), "日本".encode()]
+        self.plain = plain
+        got, length = self._encode_plain(probe)
+        want = [self.inner.encode(x.decode(), add_special_tokens=False).ids for x in probe]
+        if got.tolist() != [i for w in want for i in w] or length.tolist() != [len(w) for w in want]:
+            self.plain = None
+
+    def _encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
@@ -57,24 +106,35 @@ class ChunkTokenizer:
         self.at[n + 1 : n + m + 1] = end + np.cumsum(lengths)
         self.number.update(zip(words, range(n, n + m), strict=True))
 
+    def _single(self, words: list[bytes]) -> None:
+        got = [x.ids for x in self.inner.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self._keep(words, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
+
     def _learn(self, words: list[bytes]) -> None:
-        def single(some: list[bytes]) -> None:
-            got = [x.ids for x in self.inner.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            self._keep(some, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
-
-        plain = [w for w in words if b"\0" not in w]
-        # A zero byte between chunks shows in the ids where each ends, so many chunks make one call.
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            ids = np.array(self.inner.encode_batch_fast([b" \0 ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            mark = ids == self.mark[0] if len(self.mark) == 1 else np.zeros(len(ids), bool)
-            cut = np.flatnonzero(mark)
-            if len(cut) == len(part) - 1:
-                self._keep(part, ids[~mark], np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1)
-            else:
-                single(part)
-        if rest := [w for w in words if b"\0" in w]:
-            single(rest)
+        if self.plain is None:
+            self._single(words)
+            return
+        # Letters, then perhaps ASCII marks, which the tokenizer takes as a word of their own.
+        heads = [w.rstrip(MARKS) for w in words]
+        easy = [h.isalpha() and h.islower() or _plain(h) for h in heads]
+        if rest := [w for w, ok in zip(words, easy, strict=True) if not ok]:
+            self._single(rest)
+        words, heads = [w for w, ok in zip(words, easy, strict=True) if ok], [h for h, ok in zip(heads, easy, strict=True) if ok]
+        tails = [w[len(h) :] for w, h in zip(words, heads, strict=True)]
+        known = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        tail_ids = [self.inner.encode(t.decode(), add_special_tokens=False).ids for t in known]
+        flat, size = np.array([i for x in tail_ids for i in x], np.uint32), np.array([len(x) for x in tail_ids], np.int64)
+        for k in range(0, len(words), 4000):
+            ids, length = self._encode_plain(heads[k : k + 4000])
+            which = np.fromiter(map(known.__getitem__, tails[k : k + 4000]), np.int64, len(length))
+            total = length + size[which]
+            out = np.zeros(total.sum(), np.uint32)
+            start = np.cumsum(total) - total
+            out[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(len(ids))] = ids
+            own = size[which]
+            run = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            out[np.repeat(start + length, own) + run] = flat[np.repeat((np.cumsum(size) - size)[which], own) + run]
+            self._keep(words[k : k + 4000], out, total)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offsets of the texts in them."""
@@ -234,7 +294,8 @@ def pack(parts: DataFrame, limit: int = SEQUENCE, group: int = GROUP) -> DataFra
     packed on its own; sequence ids count within (group number) * 2^32. No pieces give no rows.
     """
     name, size = fresh(parts, "_group", "_length")
-    base = parts.drop("sequence_id", "offset").withColumn(size, F.col("length"))
+    # Written once: the pieces are thin, but finding them reads and tokenises all texts.
+    base = cut(parts.drop("sequence_id", "offset").withColumn(size, F.col("length")))
     n = base.count()
     groups = max(1, -(-n // group))
     deal = F.pmod(F.xxhash64(F.col("doc_id"), F.col("piece"), F.lit(1)), F.lit(groups)).cast("long")

@@ -52,9 +52,9 @@ class Rollup:
         # One number a batch: as many rows as batches were ever applied, joined by size.
         return self._read(part, schema).join(self.committed(), "batch", "left_semi")
 
-    def standing(self) -> DataFrame:
-        """What each document counts for now, one row a document and tokenizer version."""
-        entries = self._of_committed("entries", ENTRY)
+    def standing(self, but: int | None = None) -> DataFrame:
+        """What each document counts for now, one row a document and tokenizer version; without batch ``but``."""
+        entries = self._of_committed("entries", ENTRY).where(F.lit(True) if but is None else F.col("batch") != but)
         # A document's signed rows sum to nothing but in the group that it stands in.
         return entries.groupBy("doc_id", *KEYS).agg(*(F.sum(x).alias(x) for x in SUMS)).where("docs <> 0")
 
@@ -74,7 +74,7 @@ class Rollup:
         rank = F.struct((F.col("op") == "delete").alias("gone"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"), "source", "lang")
         new = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(F.max(rank).alias("c"))
         plus = new.where("not c.gone").select("doc_id", "c.source", "c.lang", "version", F.lit(1).cast("long").alias("docs"), "c.tokens", "c.chars")
-        minus = self.standing().join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi").select("doc_id", *KEYS, *(-F.col(x) for x in SUMS)).toDF("doc_id", *KEYS, *SUMS)
+        minus = self.standing(batch).join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi").select("doc_id", *KEYS, *(-F.col(x) for x in SUMS)).toDF("doc_id", *KEYS, *SUMS)
         path = f"{self.folder}/entries/batch={int(batch)}"
         plus.unionByName(minus).write.mode("overwrite").parquet(path)
         entries = self.spark.read.schema(ENTRY).parquet(path)
