@@ -19,13 +19,13 @@ from cairnfield.session import cut
 SEQUENCE = 2048
 SEPARATOR = 0
 #: Chunks of text whose ids a worker remembers; it forgets all of them when so many are held.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Pieces that one task packs. Each group leaves one sequence part empty at most beyond what one packing of all would.
 GROUP = 200_000
 
 
-#: ASCII marks that may follow a word in its chunk.
-MARKS = b".,!?;:)"
+#: ASCII marks that may follow a word in its chunk; not the apostrophe, which may belong to it.
+MARKS = b'.,!?;:)"#$%&(*+-/<=>@[\\]^_`{|}~'
 
 
 def _plain(head: bytes) -> bool:
