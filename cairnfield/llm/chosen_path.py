@@ -4,8 +4,11 @@ In each run every set starts at one root. A node's set picks each of its tokens
 1 / (similarity * size), by a hash of the run, the path so far and the token, and goes down one
 branch for every picked token. Two sets as similar as asked share at least one picked token a level
 in expectation, so they stay together with a chance that many runs bring up to the target recall.
-Small buckets are compared by brute force on sketches, larger ones are split further; a bucket that
-three levels of shared tokens leave large is a crowd of near copies and is taken as a whole.
+
+Small buckets are compared by brute force on sketches. In a large one all sets meet its head: those
+like it are linked to it, and those very near to it are done there, since whatever is like them is
+like the head as well. The others are split further, and take part in more runs. What shares a
+large bucket after three levels is taken as a whole.
 
 What survives is only a candidate. Candidates form clusters, and inside each cluster the exact
 similarity of all pairs is counted in blocks of bounded size, so no pair is written out.
@@ -17,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +35,14 @@ LEVELS = 3
 RECALL = 0.9999
 #: Buckets up to this size are compared by brute force.
 SMALL = 200
-#: Numbers of a sketch, and how far below the threshold its estimate may fall: over four deviations.
-SKETCH, SLACK = 64, 0.22
+#: Numbers of a sketch; from LIKE on two sets are candidates (over four deviations below the
+#: threshold), from NEAR on they are so near that one can stand for the other.
+SKETCH, LIKE, NEAR = 64, 0.55, 0.92
 #: Bytes of shingle hashes of one block of a cluster.
 BLOCK_BYTES = 8 << 20
-#: Bits of a set's fingerprint for equality, in two halves of 64.
-PROFILE = "id long, n long, same1 long, same2 long, sketch binary, depth binary, parents array<long>, paths array<long>"
+#: Ids up to this number, counted beforehand, are sent to every task; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+PROFILE = "id long, n long, s long, sketch binary, paths array<long>"
 
 
 def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,9 +63,9 @@ def shingles(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, own, np.searchsorted(own, np.arange(len(n) + 1))
 
 
-def fingerprint(own: np.ndarray) -> list[int]:
-    """Two 64-bit sums that only depend on the set."""
-    return [int(mix(own ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 13)]
+def fingerprint(own: np.ndarray) -> int:
+    """A 64-bit sum that only depends on the set."""
+    return int(mix(own).sum(dtype=np.uint64).view(np.int64))
 
 
 def runs_needed(recall: float, similarity: float, levels: int) -> int:
@@ -75,27 +79,23 @@ def runs_needed(recall: float, similarity: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _paths(value: np.ndarray, size: int, runs: int) -> tuple[list[int], list[int], list[int]]:
-    """All nodes below the root that a set goes to: depth, parent and path."""
-    bar = np.uint64(min((1 << 64) - 1, int((1 << 64) / (OVER / UNDER * size))))
-    depth, parents, paths = [], [], []
-    level = [int(x) for x in mix(np.arange(1, runs + 1, dtype=np.uint64))]
-    for d in range(1, LEVELS + 1):
-        below = []
-        for k in range(0, len(level), 16):
-            some = np.array(level[k : k + 16], np.uint64)
-            picked = mix(value[None] ^ some[:, None])
-            node, token = np.nonzero(picked < bar)
-            child = mix(picked[node, token] + some[node] + np.uint64(d))
-            depth += [d] * len(child)
-            parents += some[node].view(np.int64).tolist()
-            paths += child.view(np.int64).tolist()
-            below += child.tolist()
-        level = below
-    return depth, parents, paths
-
-
-def _profiles(runs: int):
+def roots(runs: range) -> np.ndarray:
+    return mix(np.array(runs, np.uint64) + np.uint64(1))
+
+
+def branches(own: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The nodes below ``nodes`` that a set goes to."""
+    bar = np.uint64(min((1 << 64) - 1, int((1 << 64) / (OVER / UNDER * len(own)))))
+    out = []
+    for k in range(0, len(nodes), 16):
+        some = nodes[k : k + 16]
+        picked = mix(own[None] ^ some[:, None])
+        node, token = np.nonzero(picked < bar)
+        out.append(mix(picked[node, token] + some[node]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _profiles(runs: range):
     seeds = mix(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,22 +112,37 @@ def _profiles(runs: int):
                     for b in range(0, len(own), 4096):
                         low = np.minimum(low, (own[None, b : b + 4096] * seeds[:, None] ^ (own[None, b : b + 4096] >> np.uint64(29))).min(1))
                     sketch = (mix(low) >> np.uint64(32)).astype(np.uint32)
-                    depth, parents, paths = _paths(own, len(own), runs)
-                    out.append((i, len(own), *fingerprint(own), sketch.tobytes(), bytes(depth), parents, paths))
+                    out.append((i, len(own), fingerprint(own), sketch.tobytes(), branches(own, roots(runs)).view(np.int64)))
                 if out:
-                    kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=[x.split()[0] for x in PROFILE.split(", ")])
 
     return run
 
 
+def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Branches of sets below given nodes: (s, path) for rows (s, nodes, body)."""
+    for batch in batches:
+        for part in slices(batch, "body"):
+            value, _, at = shingles(Texts(part.column("body")))
+            s, path = [], []
+            for k, (own_s, nodes) in enumerate(zip(part.column("s").to_pylist(), part.column("nodes").to_pylist(), strict=True)):
+                own = value[at[k] : at[k + 1]]
+                if len(own) and fingerprint(own) == own_s:
+                    below = branches(own, np.array(nodes, np.int64).view(np.uint64)).view(np.int64)
+                    s += [own_s] * len(below)
+                    path += below.tolist()
+            if s:
+                yield pa.RecordBatch.from_pydict({"path": pa.array(path, pa.int64()), "s": pa.array(s, pa.int64())})
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join all sets of a bucket whose sketches agree, as few as join them."""
-    least = int(SKETCH * (OVER / UNDER - SLACK))
+    least = int(SKETCH * LIKE)
     for batch in batches:
         a, b = [], []
         for members in batch.column("members").to_pylist():
-            ids = np.array([m["id"] for m in members])
+            ids = np.array([m["s"] for m in members])
             s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint32).reshape(len(ids), -1)
             root = np.arange(len(ids))
             for i in range(1, len(ids)):
@@ -142,25 +157,51 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def candidate_links(profiles: DataFrame) -> DataFrame:
-    """Links (a, b) between sets that met in a small bucket and look alike, or in a deep large one."""
-    node = F.explode(F.arrays_zip(F.transform(F.split(F.hex("depth"), "(?<=..)(?=(..)+$)"), lambda x: x.cast("int")).alias("d"), "parents", "paths"))
-    nodes = cut(profiles.select("id", node.alias("x")).select("id", F.col("x.d").alias("depth"), F.col("x.parents").alias("parent"), F.col("x.paths").alias("path")))
-    links, large = None, None
-    for d in range(1, LEVELS + 1):
-        here = nodes.where(F.col("depth") == d)
-        if large is not None:
-            here = here.join(large.select(F.col("path").alias("parent")), "parent", "left_semi")
-        sizes = here.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-        sizes = cut(sizes)
-        small = here.join(sizes.where(F.col("size") <= SMALL).select("path"), "path").select("path", "id")
+def _to_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How like its bucket's head each set is."""
+    for batch in batches:
+        own, head = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SKETCH) for c in ("sketch", "lead"))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("s"), batch.column("head"), pa.array((own == head).mean(1))], names=["path", "s", "head", "like"])
+
+
+def _met(thin: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(thin) if rows <= BROADCAST_ROWS else thin
+
+
+def candidate_links(sets: DataFrame, slim: DataFrame, first: range, more: range) -> DataFrame:
+    """Links (a, b) between sets that met in a small bucket and look alike, or in a large one and are like its head.
+
+    ``sets`` has (s, id, sketch, paths) with the branches of the ``first`` runs; only sets that large
+    buckets leave over take part in the ``more`` runs, as they alone need them for the recall.
+    """
+    sketches = sets.select("s", "sketch")
+    nodes, found = sets.select("s", F.explode("paths").alias("path")), []
+    for level in range(1, LEVELS + 1):
+        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), F.min("s").alias("head")).where("size > 1")
+        # Most buckets hold one set; what is left is a fraction of the nodes.
+        members = cut(nodes.join(sizes, "path"))
         # Bounded lists: SMALL members of some hundred bytes.
-        lists = small.join(profiles.select("id", "sketch"), "id").groupBy("path").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
-        found = lists.select("members").mapInArrow(_compare, "a long, b long")
-        large = sizes.where(F.col("size") > SMALL)
-        links = found if links is None else links.unionByName(found)
-        if d == LEVELS:
-            links = links.unionByName(here.join(large, "path").select(F.col("head").alias("a"), F.col("id").alias("b")))
+        lists = members.where(F.col("size") <= SMALL).join(sketches, "s").groupBy("path").agg(F.collect_list(F.struct("s", "sketch")).alias("members"))
+        found.append(lists.select("members").mapInArrow(_compare, "a long, b long"))
+        large = members.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        lead = large.select("path", "head").distinct().join(sketches.withColumnRenamed("s", "head"), "head").select("path", F.col("sketch").alias("lead"))
+        seen = cut(large.join(sketches, "s").join(lead, "path").select("path", "s", "head", "sketch", "lead").mapInArrow(_to_head, "path long, s long, head long, like double"))
+        # After the last level all of a bucket are candidates.
+        found.append(seen.where(F.col("like") >= (LIKE if level < LEVELS else 0.0)).select(F.col("head").alias("a"), F.col("s").alias("b")))
+        rest = cut(seen.where(F.col("like") < NEAR).groupBy("s").agg(F.collect_list("path").alias("nodes")))
+        n = rest.count()
+        if level == LEVELS or not n:
+            break
+        if level == 1:
+            extra = F.array(*(F.lit(int(x)) for x in roots(more).view(np.int64)))
+            rest = rest.withColumn("nodes", F.concat("nodes", extra))
+        thin = sets.select("s", "id").join(rest, "s")
+        nodes = cut(slim.join(_met(thin, n), "id").select("s", "nodes", "body").mapInArrow(_deeper, "path long, s long").distinct())
+    links = found[0]
+    for other in found[1:]:
+        links = links.unionByName(other)
     return cut(links.where("a <> b").distinct())
 
 
@@ -170,9 +211,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, _, at = shingles(Texts(part.column("body")))
             held = [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             # Of rows that repeat an id, only those with the set that counts.
-            ok = pa.array([fingerprint(x)[0] == s for x, s in zip(held, part.column("same1").to_pylist(), strict=True)])
-            cols = [part.column(c) for c in ("id", "cluster", "blocks")] + [pa.array([x.tobytes() for x in held], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "cluster", "blocks", "tokens"]).filter(ok)
+            ok = pa.array([bool(len(x)) and fingerprint(x) == own for x, own in zip(held, part.column("s").to_pylist(), strict=True)])
+            cols = [part.column(c) for c in ("s", "cluster", "blocks")] + [pa.array([x.tobytes() for x in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["s", "cluster", "blocks", "tokens"]).filter(ok)
 
 
 def _count(rows: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -219,7 +260,7 @@ def _count(rows: list[tuple[int, int, bytes]], i: int, j: int) -> tuple[np.ndarr
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for members, i, j in zip(batch.column("members").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-            rows = sorted({m["id"]: (m["id"], m["block"], m["tokens"]) for m in members}.values())
+            rows = sorted({m["s"]: (m["s"], m["block"], m["tokens"]) for m in members}.values())
             if len(rows) < 2 or len({r[1] for r in rows}) < 1 + (i != j):
                 continue
             ids, links, edges = _count(rows, i, j)
@@ -230,18 +271,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def verified(reps: DataFrame, clusters: DataFrame) -> DataFrame:
+def verified(slim: DataFrame, clusters: DataFrame) -> DataFrame:
     """Exact comparison inside clusters: rows (a, null, number of links) and links (a, b, 0) that join what is linked.
 
-    ``reps`` has (id, body), ``clusters`` (id, n, same1, cluster). A cluster falls into blocks by a hash of
-    the id, and every two of its blocks meet in one place.
+    ``slim`` has (id, body), ``clusters`` (s, id, n, cluster), where the document ``id`` holds the set
+    ``s``. A cluster falls into blocks by a hash, and every two of its blocks meet in one place.
     """
     weight = clusters.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    known = clusters.join(weight, "cluster").select("id", "same1", "cluster", "blocks")
-    sets = reps.join(known, "id").select("id", "same1", "cluster", "blocks", "body").mapInArrow(_sets, "id long, cluster long, blocks int, tokens binary")
-    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks").cast("long")).cast("int")
-    dealt = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "block", "tokens").alias("m"))
+    known = cut(clusters.join(weight, "cluster").select("id", "s", "cluster", "blocks"))
+    held = slim.join(_met(known, known.count()), "id").select("s", "cluster", "blocks", "body").mapInArrow(_sets, "s long, cluster long, blocks int, tokens binary")
+    own = F.pmod(F.xxhash64("s", F.lit(9)), F.col("blocks").cast("long")).cast("int")
+    dealt = held.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("s", "block", "tokens").alias("m"))
     # Bounded lists: two blocks' bytes.
     return pairs.groupBy("cluster", "i", "j").agg(F.collect_list("m").alias("members")).mapInArrow(_verify, "a long, b long, n long")
 
@@ -254,22 +295,25 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rec
     the same set, ``n_same`` their number, ``n_links`` the number of other sets linked to it, and
     ``class_id`` the least id of all that links join, directly or through others. A text of one to
     four words is one shingle; null and empty texts have none and stand alone. Of rows that repeat
-    an id, the one with the least set counts.
+    an id, the one with the least fingerprint of its set counts.
     """
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    profiles = cut(slim.mapInArrow(_profiles(runs_needed(recall, OVER / UNDER, LEVELS)), PROFILE))
-    one = profiles.groupBy("id").agg(F.min(F.struct("same1", "same2", "n")).alias("s")).select("id", "s.*")
-    same = one.groupBy("same1", "same2").agg(F.min("id").alias("same_id"), F.count("*").alias("n_same"), F.min("n").alias("n"))
-    same = cut(same)
-    heads = same.select(F.col("same_id").alias("id"), "same1", "same2", "n")
-    reps = profiles.join(heads.select("id", "same1", "same2"), ["id", "same1", "same2"], "left_semi")
-    clusters = connected_components(candidate_links(reps)).select("id", F.col("root").alias("cluster"))
-    checked = cut(verified(slim.select("id", "body"), cut(clusters.join(heads.select("id", "n", "same1"), "id"))))
-    joined = connected_components(checked.where("b is not null").select("a", "b")).select(F.col("id").alias("same_id"), F.col("root").alias("class_id"))
-    links = checked.where("b is null").groupBy(F.col("a").alias("same_id")).agg(F.sum("n").alias("n_links"))
-    info = same.join(joined, "same_id", "left").join(links, "same_id", "left")
-    info = info.select("same1", "same2", "same_id", "n_same", F.coalesce("class_id", "same_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = one.join(info, ["same1", "same2"]).select("id", "class_id", "same_id", "n_same", "n_links")
+    first = range(runs_needed(recall, OVER / UNDER, 1))
+    more = range(len(first), runs_needed(recall, OVER / UNDER, LEVELS))
+    profiles = cut(slim.mapInArrow(_profiles(first), PROFILE))
+    one = profiles.groupBy("id").agg(F.min("s").alias("s"))
+    # Equal sets are one from here on. Each task joins its own equal ones first, however many there are.
+    sizes = one.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("n_same"))
+    alike = profiles.groupBy("s").agg(F.min(F.struct("id", "n", "sketch", "paths")).alias("x"))
+    sets = cut(alike.join(sizes, "s").select("s", "id", "n_same", "x.n", "x.sketch", "x.paths"))
+    clusters = connected_components(candidate_links(sets, slim, first, more)).select(F.col("id").alias("s"), F.col("root").alias("cluster"))
+    checked = cut(verified(slim, clusters.join(sets.select("s", "id", "n"), "s")))
+    joined = connected_components(checked.where("b is not null").select("a", "b")).select(F.col("id").alias("s"), "root")
+    joined = cut(joined.join(sets.select("s", "id"), "s"))
+    classes = joined.join(joined.groupBy("root").agg(F.min("id").alias("class_id")), "root").select("s", "class_id")
+    links = checked.where("b is null").groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("n_links"))
+    info = sets.select("s", F.col("id").alias("same_id"), "n_same").join(classes, "s", "left").join(links, "s", "left")
+    known = one.join(info, "s").select("id", F.coalesce("class_id", "same_id").alias("class_id"), "same_id", "n_same", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     every = slim.select("id").distinct().join(known, "id", "left")
     return every.select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("same_id", "id").alias("same_id"),
