@@ -38,8 +38,8 @@ SMALL = 200
 #: Numbers of a sketch; from LIKE on two sets are candidates (over four deviations below the
 #: threshold), from NEAR on they are so near that one can stand for the other.
 SKETCH, LIKE, NEAR = 64, 0.55, 0.92
-#: Bytes of shingle hashes of one block of a cluster.
-BLOCK_BYTES = 8 << 20
+#: Bytes of shingle hashes, and number of sets, of one block of a cluster.
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 2000
 #: Ids up to this number, counted beforehand, are sent to every task; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 PROFILE = "id long, n long, s long, sketch binary, paths array<long>"
@@ -277,7 +277,7 @@ def verified(slim: DataFrame, clusters: DataFrame) -> DataFrame:
     ``slim`` has (id, body), ``clusters`` (s, id, n, cluster), where the document ``id`` holds the set
     ``s``. A cluster falls into blocks by a hash, and every two of its blocks meet in one place.
     """
-    weight = clusters.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    weight = clusters.groupBy("cluster").agg(F.greatest(F.ceil(8 * F.sum("n") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     known = cut(clusters.join(weight, "cluster").select("id", "s", "cluster", "blocks"))
     held = slim.join(_met(known, known.count()), "id").select("s", "cluster", "blocks", "body").mapInArrow(_sets, "s long, cluster long, blocks int, tokens binary")
     own = F.pmod(F.xxhash64("s", F.lit(9)), F.col("blocks").cast("long")).cast("int")
