@@ -68,7 +68,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_toxicity")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs, fold = table(spark, sf, "documents"), crc_fold("doc_id", 3)
-    model = toxicity.train(docs, table(spark, sf, "labels").where(fold != 1), cut=0.7)
+    model = toxicity.train(docs, table(spark, sf, "labels").where(fold != 1))
     return toxicity.score(docs, model, [F.col("doc_id"), (fold == 1).alias("held_out")], cut=0.7)
 
 
