@@ -81,15 +81,16 @@ def conversations(messages: DataFrame, text: str = "text", id_col: str = "messag
     known = messages.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("message")).agg(F.min(F.col(text)).alias("text"))
     known = cut(known)
     links = cut(link_quotes(known))
-    # Pointer doubling over replies only: each round doubles the steps that a pointer covers.
-    at = links.select("message", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
+    # Pointer doubling over replies only: each round doubles the steps that a pointer covers, and
+    # those that have reached a message without a parent drop out.
+    at = links.select("message", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open"))
     for _ in range(MAX_ROUNDS):
         over = at.select(F.col("message").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = at.join(over, "up", "left")
-        at = cut(moved.select("message", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("open")))
+        moved = at.where("open").join(over, "up", "left")
+        moved = moved.select("message", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("open"))
+        at = cut(at.where("not open").unionByName(moved))
         if at.where("open").isEmpty():
             break
-        at = at.drop("open")
     else:
         raise ValueError("a chain of replies is too long")
     roots = at.select("message", F.col("up").alias("root"), "depth")
