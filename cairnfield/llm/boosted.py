@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, slices
+from cairnfield.llm.common import Texts, slices, small_batches
 from cairnfield.llm.documents import RATIOS, base_counts, ratios
 from cairnfield.llm.quality_pu import bounded, sigmoid, with_ratios
 
@@ -108,6 +108,7 @@ def judge(docs: DataFrame, model: Trees, keep: list[Column], text: str = "text",
     Base rule: fewer than ``least_words`` words, or more than half of them in three-word windows
     that occur twice. Null and empty texts have no words, so they fail it.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(*keep, F.col(text).alias("_body"))
     names = base.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)

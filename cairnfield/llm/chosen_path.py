@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, grams, mix, slices
+from cairnfield.llm.common import Texts, grams, mix, slices, small_batches
 from cairnfield.operators.graph import connected_components
 from cairnfield.session import cut
 
@@ -297,6 +297,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rec
     four words is one shingle; null and empty texts have none and stand alone. Of rows that repeat
     an id, the one with the least fingerprint of its set counts.
     """
+    small_batches(docs.sparkSession)
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
     first = range(runs_needed(recall, OVER / UNDER, 1))
     more = range(len(first), runs_needed(recall, OVER / UNDER, LEVELS))

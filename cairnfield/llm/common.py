@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text whose hashes are worked on at once; one longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python by the thousand, as whole texts may be long; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "1000")
+
+
 def crc_fold(id_col: str, parts: int) -> Column:
     """Remainder of the CRC-32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import fresh, laid_out, slices
+from cairnfield.llm.common import fresh, laid_out, slices, small_batches
 
 #: Features: all byte pairs, then byte triples by hash.
 PAIRS, TRIPLES = 1 << 16, 1 << 16
 FEATURES = PAIRS + TRIPLES
+#: Bytes of text whose features are held at once.
+PART_BYTES = 1 << 18
 #: A code has at most this many bits; a table may have at most this many languages.
 MAX_BITS, MAX_LANGUAGES = 63, 200
 #: Below this lead over the second codeword, as a share of the code's length, a text is ambiguous.
@@ -69,7 +71,7 @@ def language_counts(docs: DataFrame, text: str, lang: str, languages: list[str])
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 f, r = features(part.column("text"))
                 who = np.array([number.get(x, -1) for x in part.column("lang").to_pylist()])
                 for i in np.unique(who[who >= 0]):
@@ -84,6 +86,7 @@ def language_counts(docs: DataFrame, text: str, lang: str, languages: list[str])
                 total += np.frombuffer(x, np.int64)
         yield pd.DataFrame({"lang": [key[0]], "counts": [total.tobytes()]})
 
+    small_batches(docs.sparkSession)
     parts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(count, "lang int, counts binary")
     out = np.zeros((len(languages), FEATURES))
     # One row of a fixed size for each language.
@@ -137,26 +140,30 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, language_counts(known, text, lang, languages) if languages else np.zeros((0, FEATURES)))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str | Column] | None = None, kept_text: str | None = None) -> DataFrame:
     """Add lang_pred, score, margin and ambiguous to the kept columns (all, by default).
 
+    If one of the kept columns holds the text, ``kept_text`` names it, and texts travel once.
+
     A null text, one without a letter, or a model without languages gives ``und``, score 0 and
     margin 0, and is ambiguous. Columns of the input with these names are replaced.
     """
     new = ["lang_pred", "score", "margin", "ambiguous"]
-    base = docs.select(*([c for c in docs.columns if c.lower() not in new] if keep is None else keep), F.col(text).alias(fresh(docs, "_body")[0]))
-    body = base.columns[-1]
-    letter = fresh(base, "_letter")[0]
-    base = base.withColumn(letter, F.coalesce(F.col(body).rlike(r"\p{L}"), F.lit(False)))
-    kept = [f for f in base.schema.fields if f.name not in (body, letter)]
-    # A kept text column and the body are one column; the body only travels where text is not kept.
+    small_batches(docs.sparkSession)
+    if keep is None:
+        keep = [c for c in docs.columns if c.lower() not in new]
+        kept_text = text if text in keep else None
+    names = fresh(docs, "_body", "_letter")
+    base = docs.select(*keep, *([] if kept_text else [F.col(text).alias(names[0])]), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(names[1]))
+    body, letter = kept_text or names[0], names[1]
+    kept = [f for f in base.schema.fields if f.name not in names]
     shared = base.sparkSession.sparkContext.broadcast(model)
     schema = "{}, lang_pred string, score double, margin double, ambiguous boolean".format(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch in batches:
-            for part in slices(batch, body):
+            for part in slices(batch, body, PART_BYTES):
                 n = part.num_rows
                 f, r = features(part.column(body))
                 best, score, lead = m.decode(m.margins(f, r, n)) if m.languages else (np.zeros(n, int), np.zeros(n), np.zeros(n))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnfield.llm.common import fresh, slices
+from cairnfield.llm.common import fresh, slices, small_batches
 from cairnfield.session import cut
 
 SEQUENCE = 2048
@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     unsigned 32-bit numbers) and, if asked for, the ids. A null text counts as empty and gives the
     separator alone. Repeated rows give repeated pieces; a null doc_id stays null.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, slices
+from cairnfield.llm.common import Texts, slices, small_batches
 from cairnfield.llm.documents import RATIOS, base_counts, ratios
 
 #: Expected number of rows of each kind (positive, unlabelled, trusted negative) that the fit reads at most.
@@ -19,6 +19,7 @@ STEPS, BATCH, HIDDEN = 1500, 512, 16
 
 def with_ratios(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     """The kept columns and ``x``, the text's ratios."""
+    small_batches(docs.sparkSession)
     base = docs.select(*keep, F.col(text).alias("_body"))
     names = base.columns[:-1]
 
@@ -172,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", cut: float = 0.3) -> DataFrame:
     """The kept columns, score (0 to 1) and predicted (1 from ``cut`` on). Null and empty texts are scored by their zero ratios."""
+    small_batches(docs.sparkSession)
     base = docs.select(*keep, F.col(text).alias("_body"))
     names = base.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)

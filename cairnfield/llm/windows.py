@@ -18,11 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, fresh, grams, slices
+from cairnfield.llm.common import Texts, fresh, grams, slices, small_batches
 
 WORDS = 20
 #: Windows that a task gathers before it sends their first places on.
-FLUSH_WINDOWS = 1 << 21
+FLUSH_WINDOWS = 1 << 20
 #: Bytes of text whose windows make one hash range, and whose removals make one group of documents.
 RANGE_BYTES = 8 << 20
 NULL_ID = np.iinfo(np.int64).min
@@ -191,6 +191,7 @@ def repeated_intervals(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     document. A null doc_id counts as smaller than all. Rows with the same doc_id are one document:
     a window at the same place of it is not earlier, and what goes at a place goes in all of them.
     """
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(min(max(1, total // RANGE_BYTES), 1 << 20))
     slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("body"))

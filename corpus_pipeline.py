@@ -31,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return docs.where(F.col("text").rlike(r"\p{L}"))
     named = [f.name for f in docs.schema.fields]
     hidden = dict(zip(named, fresh(docs, *(f"_c{k}" for k in range(len(named)))), strict=True))
-    judged = identify(docs, model, keep=[F.col(c).alias(hidden[c]) for c in named])
+    judged = identify(docs, model, keep=[F.col(c).alias(hidden[c]) for c in named], kept_text=hidden["text"])
     return judged.where("lang_pred <> 'und' and not ambiguous").select(*(F.col(hidden[c]).alias(c) for c in named))
 
 
