@@ -19,7 +19,7 @@ from cairnfield.session import cut
 SEQUENCE = 2048
 SEPARATOR = 0
 #: Chunks of text whose ids a worker remembers; it forgets all of them when so many are held.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Pieces that one task packs. Each group leaves one sequence part empty at most beyond what one packing of all would.
 GROUP = 200_000
 
