@@ -36,23 +36,32 @@ OUTLIER_MIN_M = 25.0
 OUTLIER_FACTOR = 2.2
 LOOSE_RMS_M = 60.0
 
-# fixed values: GPX decimation
-LARGE_GPX_BYTES = 10 * 1024 * 1024
-LARGE_GPX_POINTS = 50000
-DISPLAY_POINTS = 10000
-MIN_DISPLAY_BUDGET = 1000
-
 # fixed values: colours and review
 CHIP_MERGE_DISTANCE = 40.0
 DIVERSE_DISTANCE = 48.0
 DIVERSE_COUNT = 10
 CLUSTER_DISTANCE = 34.0
-CLUSTER_MAX = 90
+# fixed values: colour names, in order: name, highest lightness and saturation (exclusive), least
+# lightness (exclusive), hue ranges [from, to)
+COLOR_NAMES = [
+    ("Black", 0.16, None, None, [(0, 361)]),
+    ("White", None, 0.16, 0.82, [(0, 361)]),
+    ("Gray", None, 0.16, None, [(0, 361)]),
+    ("Brown", 0.42, 0.65, None, [(10, 45), (340, 361)]),
+    ("Red", None, None, None, [(0, 12), (345, 361)]),
+    ("Brown", 0.35, None, None, [(0, 42)]),
+    ("Orange", None, None, None, [(0, 42)]),
+    ("Yellow", None, None, None, [(0, 68)]),
+    ("Green", None, None, None, [(0, 160)]),
+    ("Teal", None, None, None, [(0, 195)]),
+    ("Blue", None, None, None, [(0, 250)]),
+    ("Purple", None, None, None, [(0, 290)]),
+    ("Pink", None, None, None, [(0, 361)]),
+]
 CONFIDENCE_MEDIUM = 0.5
 CONFIDENCE_HIGH = 0.75
 
 # fixed values: request pacing
-BUDGET_LIMIT = 60
 BUDGET_WINDOW_S = 3600
 STARTS_PER_SECOND = 5
 MAX_ATTEMPTS = 6

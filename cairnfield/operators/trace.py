@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnfield.functions.plane import distance2
@@ -12,6 +12,7 @@ from cairnfield.operators import pixels as P
 from cairnfield.operators.graph import connected_components, greedy_match
 from cairnfield.operators.grid import point_cells, point_cells_around
 from cairnfield.operators.lines import pixel_length, segments
+from cairnfield.operators.ordered import number_rows
 from cairnfield.operators.pixels import MASK, neighbours8
 from cairnfield.operators.simplify import keep_vertices, renumber
 from cairnfield.operators.topology import assemble_chains, chain_vertices
@@ -116,12 +117,12 @@ def _key(map_cols: list[str] = MASK) -> Column:
     return F.struct(*map_cols)
 
 
-def skeleton_graph(skeleton: DataFrame, maps: DataFrame) -> dict[str, DataFrame]:
+def skeleton_graph(skeleton: DataFrame, factor: int = 1) -> dict[str, DataFrame]:
     """Nodes, edges and edge points of a skeleton.
 
     Cells with other than two neighbours form node clusters; runs of two-neighbour cells are
-    edges, ordered by pointer doubling; loops without a node get one at their first cell. Column
-    ``raster`` is (map_id, chip_id), cells are numbers in row-major order.
+    edges, ordered by pointer doubling; loops without a node get one at their first cell. Places are
+    in pixels, a cell being ``factor`` pixels wide. Column ``raster`` is (map_id, chip_id), cells are numbers in row-major order.
     """
     c = F.col
     wide = 1 << 20
@@ -143,11 +144,8 @@ def skeleton_graph(skeleton: DataFrame, maps: DataFrame) -> dict[str, DataFrame]
         "raster", "cell", F.coalesce("root.cell", "cell").alias("node"), "x", "y"
     )
     node_of = cut(node_of)
-    factor = P._factor(maps).select("map_id", "f")
-    f = c("f")
-    spot = lambda v: (c(v) + 0.5) * f
-    scaled = lambda df: df.withColumn("map_id", c("raster.map_id")).join(factor, "map_id").drop("map_id")
-    centre = scaled(node_of).groupBy("raster", "node").agg(F.avg(spot("x")).alias("x"), F.avg(spot("y")).alias("y"))
+    spot = lambda v: (c(v) + 0.5) * factor
+    centre = node_of.groupBy("raster", "node").agg(F.avg(spot("x")).alias("x"), F.avg(spot("y")).alias("y"))
     # A cell's port 0 is its lower neighbour, port 1 its higher one.
     port = F.when(c("other") == c("n0"), 0).otherwise(1)
     inner = sided.where("deg = 2").select("raster", "cell", "other", "other_path", port.alias("side"))
@@ -172,9 +170,9 @@ def skeleton_graph(skeleton: DataFrame, maps: DataFrame) -> dict[str, DataFrame]
     stub = (c("last") == 0) & (c("a") == c("b"))
     edges = edges.withColumn("ring", ring).withColumn("stub", F.coalesce(stub, F.lit(False)))
     edges = cut(edges.withColumn("a", F.coalesce("a", "first_cell")).withColumn("b", F.when(c("stub") | c("b").isNull(), c("first_cell")).otherwise(c("b"))))
-    extra = scaled(edges.where("ring or stub")).select("raster", c("first_cell").alias("node"), spot("x").alias("x"), spot("y").alias("y"))
+    extra = edges.where("ring or stub").select("raster", c("first_cell").alias("node"), spot("x").alias("x"), spot("y").alias("y"))
     all_nodes = cut(centre.unionByName(extra))
-    inside = scaled(order.join(edges.select("raster", "edge", "stub"), ["raster", "edge"]).where("not stub"))
+    inside = order.join(edges.select("raster", "edge", "stub"), ["raster", "edge"]).where("not stub")
     inside = inside.select("raster", "edge", (c("pos") + 1).alias("idx"), spot("x").alias("x"), spot("y").alias("y"))
     # A loop starts on its own first cell, which the head repeats.
     rings = edges.where("ring").select("raster", "edge", F.lit(True).alias("_ring"))
@@ -209,56 +207,29 @@ def _degrees(edges: DataFrame) -> DataFrame:
 
 
 def _dot_chain(graph: dict[str, DataFrame], gap: float) -> DataFrame:
-    """Edges that string single dots together, from the dot nearest to a line end.
+    """Edges that string single dots together and tie their strings to line ends.
 
-    The walk takes the nearest unused dot within 2.5 gaps. It cannot leave the group of dots tied by
-    that distance, so each raster sends only that group to a task.
+    Two dots within 2.5 gaps are linked if each is among the other's two nearest, so every dot has
+    two links at most and every group of dots is strung, however small. A dot and a line end are
+    linked if each is the other's nearest within that reach. Ties go to the lower node number.
     """
     c = F.col
     reach = gap * 2.5
     deg = _degrees(graph["edges"])
     nodes = graph["nodes"].join(deg, ["raster", "node"], "left").fillna(0, ["deg"])
     dots = cut(nodes.where("deg = 0").select("raster", "node", "x", "y"))
-    enough = dots.groupBy("raster").agg(F.count("*").alias("_n")).where("_n >= 5").select("raster")
-    dots = dots.join(enough, "raster", "left_semi")
-    tips = nodes.where("deg = 1").select("raster", c("node").alias("tip"), c("x").alias("tx"), c("y").alias("ty"))
-    near = point_cells_around(dots, reach).join(point_cells(tips, reach, "tx", "ty"), ["raster", "_cx", "_cy"])
-    d = F.hypot(c("x") - c("tx"), c("y") - c("ty"))
-    start = near.withColumn("d", d).where(c("d") < reach).groupBy("raster").agg(F.min(F.struct("d", "node", "tip")).alias("s"))
-    start = cut(start.select("raster", c("s.d").alias("d0"), c("s.node").alias("first"), c("s.tip").alias("tip")))
-    mine = dots.join(start, "raster")
-    other = point_cells(mine.select("raster", c("node").alias("m"), c("x").alias("mx"), c("y").alias("my")), reach, "mx", "my")
-    tied = point_cells_around(mine, reach).join(other, ["raster", "_cx", "_cy"]).where(c("m") > c("node"))
-    tied = tied.where(distance2(c("x"), c("y"), c("mx"), c("my")) < reach * reach)
-    ident = lambda n: F.struct("raster", c(n).alias("cell"))
-    roots = connected_components(tied.select(ident("node").alias("a"), ident("m").alias("b")))
-    group = mine.withColumn("id", ident("node")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    wanted = group.where("node = first").select("raster", c("root").alias("_want"))
-    group = group.join(wanted, "raster").where("root = _want").select("raster.map_id", "raster.chip_id", "node", "x", "y", "first", "tip", "d0")
-    kinds = dict(group.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-        xy, ids = pdf[["x", "y"]].to_numpy(), pdf["node"].to_numpy()
-        free = np.ones(len(ids), bool)
-        at = int(np.nonzero(ids == pdf["first"].iloc[0])[0][0])
-        free[at] = False
-        out = [(pdf["tip"].iloc[0], ids[at], pdf["d0"].iloc[0])]
-        while free.any():
-            gaps = np.where(free, np.hypot(*(xy - xy[at]).T), np.inf)
-            nxt = int(gaps.argmin())
-            if not gaps[nxt] < reach:
-                break
-            out.append((ids[at], ids[nxt], gaps[nxt]))
-            free[nxt] = False
-            at = nxt
-        got = pd.DataFrame(out, columns=["a", "b", "len"])
-        got.insert(0, "chip_id", pdf["chip_id"].iloc[0])
-        got.insert(0, "map_id", pdf["map_id"].iloc[0])
-        return got
-
-    made = group.groupBy("map_id", "chip_id").applyInPandas(walk, f"map_id {kinds['map_id']}, chip_id {kinds['chip_id']}, a bigint, b bigint, len double")
-    return made.select(F.struct("map_id", "chip_id").alias("raster"), "a", "b", "len")
+    tips = nodes.where("deg = 1").select("raster", c("node").alias("m"), c("x").alias("mx"), c("y").alias("my"))
+
+    def mutual(others: DataFrame, most: int) -> DataFrame:
+        met = point_cells_around(dots, reach).join(point_cells(others, reach, "mx", "my"), ["raster", "_cx", "_cy"])
+        met = met.withColumn("len", F.hypot(c("x") - c("mx"), c("y") - c("my"))).where((c("len") < reach) & (c("node") != c("m")))
+        # As many rows of one dot as other dots lie within reach.
+        rank = lambda own, other: F.row_number().over(Window.partitionBy("raster", own).orderBy("len", other))
+        best = met.select("raster", "node", "m", "len", rank("node", "m").alias("_r"), rank("m", "node").alias("_q"))
+        return best.where((c("_r") <= most) & (c("_q") <= most)).select("raster", c("node").alias("a"), c("m").alias("b"), "len")
+
+    strung = mutual(dots.select("raster", c("node").alias("m"), c("x").alias("mx"), c("y").alias("my")), 2).where("a < b")
+    return cut(strung.unionByName(mutual(tips, 1)))
 
 
 def bridge_links(graph: dict[str, DataFrame], gap: float, reach: Column) -> DataFrame:
@@ -284,10 +255,13 @@ def bridge_links(graph: dict[str, DataFrame], gap: float, reach: Column) -> Data
     return best.select(c("a.raster").alias("raster"), c("a.cell").alias("a"), c("b.cell").alias("b"), "len")
 
 
-def _with_edges(graph: dict[str, DataFrame], new: DataFrame) -> dict[str, DataFrame]:
-    """Add straight edges between nodes; their ids lie above every cell number."""
+def _with_edges(graph: dict[str, DataFrame], new: DataFrame, kind: int) -> dict[str, DataFrame]:
+    """Add straight edges between nodes, numbered by their own position within a kind.
+
+    Edge ids are cell numbers below 2^50; each kind of added edge has a range of its own above.
+    """
     c = F.col
-    new = new.withColumn("edge", F.least("a", "b") + (1 << 50))
+    new = cut(number_rows(new, ["raster"], [c("a"), c("b")], "edge", start=kind << 50))
     edges = graph["edges"].unionByName(new.select("raster", "edge", "a", "b", "len"))
     ends = new.select("raster", "edge", F.posexplode(F.array("a", "b")).alias("idx", "node")).join(graph["nodes"], ["raster", "node"])
     points = graph["points"].unionByName(ends.select("raster", "edge", c("idx").cast("bigint").alias("idx"), "x", "y"))
@@ -295,23 +269,19 @@ def _with_edges(graph: dict[str, DataFrame], new: DataFrame) -> dict[str, DataFr
 
 
 def bridge(graph: dict[str, DataFrame], gap: float, reach: Column) -> dict[str, DataFrame]:
+    """String dots together, then close gaps between line ends that point at each other."""
     if gap <= 0:
         return graph
-    graph = _with_edges(graph, _dot_chain(graph, gap))
-    # Ids of bridges lie above those of dot edges, as both may start at the same node.
-    links = bridge_links(graph, gap, reach)
-    bumped = _with_edges({**graph, "edges": graph["edges"].limit(0), "points": graph["points"].limit(0)}, links)
-    up = lambda df: df.withColumn("edge", F.col("edge") + (1 << 50))
-    return {
-        "nodes": graph["nodes"], "edges": cut(graph["edges"].unionByName(up(bumped["edges"]))), "points": cut(graph["points"].unionByName(up(bumped["points"]))),
-    }
-
-
-def prune(graph: dict[str, DataFrame], spur: Column) -> dict[str, DataFrame]:
-    """Drop short dead ends at junctions, in at most four rounds."""
+    graph = _with_edges(graph, _dot_chain(graph, gap), 1)
+    return _with_edges(graph, bridge_links(graph, gap, reach), 2)
+
+
+def prune(graph: dict[str, DataFrame], spur: Column, rounds: int | None = None) -> dict[str, DataFrame]:
+    """Drop short dead ends at junctions, round by round until none is left, or in ``rounds`` rounds."""
     c = F.col
     edges = graph["edges"]
-    for _ in range(4):
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         deg = _degrees(edges)
         at = lambda n: deg.select("raster", c("node").alias(n), c("deg").alias(f"deg_{n}"))  # noqa: E731,B023
         rows = edges.join(at("a"), ["raster", "a"]).join(at("b"), ["raster", "b"])
@@ -414,28 +384,32 @@ def candidate_confidence(cands: DataFrame, v: DataFrame, px: DataFrame, chips: D
     return rows.select(*keys, F.coalesce(one(c("_line") * (0.4 + 0.6 * quality)), F.lit(0.0)).alias("confidence"))
 
 
-def find_trails(px: DataFrame, maps: DataFrame, chips: DataFrame, tolerance: float = 60.0, gap: float = 0.0, min_length: float = 50.0) -> dict[str, DataFrame]:
+def find_trails(px: DataFrame, maps: DataFrame, chips: DataFrame, tolerance: float = 60.0, gap: float = 0.0, min_length: float = 50.0, factor: int = 1) -> dict[str, DataFrame]:
     """Candidate lines of every chip of every map, with confidence.
 
+    A chip's own ``tolerance`` counts where it has one. Tracing works on cells of ``factor`` pixels;
+    by default on all pixels, whatever the raster's size. Lengths are in pixels throughout.
+
     Steps: colour mask, grown edges, closing, components, thinning, filled shapes out, skeleton
     graph, bridging, pruning, chaining.
     """
     c = F.col
-    inks = chips.withColumn("tolerance", F.lit(float(tolerance)))
-    r = P.closing_radius(gap)
-    mask = P.grow_mask(cut(P.color_mask(px, maps, inks)), px, maps, inks)
-    labelled = cut(P.drop_specks(cut(P.components(cut(P.close_mask(mask, maps, r))))))
+    own = c("tolerance") if "tolerance" in chips.columns else F.lit(None)
+    inks = chips.withColumn("tolerance", F.coalesce(own.cast("double"), F.lit(float(tolerance))))
+    r = P.closing_radius(gap, factor)
+    mask = P.grow_mask(cut(P.color_mask(px, inks, factor)), px, inks, factor)
+    labelled = cut(P.drop_specks(cut(P.components(cut(P.close_mask(mask, maps, r, factor))))))
     skeleton = P.drop_filled(cut(thin(labelled.select(*MASK, "x", "y"))), labelled, r)
-    graph = skeleton_graph(skeleton, maps)
-    reach = F.lit(float(max(8, 4 * r)))
+    graph = skeleton_graph(skeleton, factor)
+    reach = F.lit(float(max(8, 4 * r) * factor))
     graph = bridge(graph, gap, reach)
-    graph = prune(graph, F.lit(float(max(6, 2 * r + 5, 0.15 * min_length))))
-    lines = cut(trace_lines(graph, reach, 1.0, min_length))
+    graph = prune(graph, F.lit(float(max(6 * factor, (2 * r + 5) * factor, 0.15 * min_length))))
+    lines = cut(trace_lines(graph, reach, max(1.0, 0.9 * factor), min_length))
     flat = lines.select(c("map_id.map_id").alias("map_id"), c("map_id.chip_id").alias("chip_id"), c("feature_id").alias("line"), "idx", "x", "y", "length_px")
     ident = F.concat_ws("-", c("map_id").cast("string"), c("chip_id").cast("string"), c("line").cast("string"))
     flat = flat.withColumn("candidate_id", ident)
     cands = flat.groupBy("map_id", "candidate_id", "chip_id").agg(F.max("length_px").alias("length_px"))
-    cands = cut(cands.withColumn("min_length_px", F.lit(float(min_length))).withColumn("tolerance", F.lit(float(tolerance))))
+    cands = cut(cands.withColumn("min_length_px", F.lit(float(min_length))).join(inks.select("map_id", "chip_id", "tolerance"), ["map_id", "chip_id"]))
     v = flat.select("map_id", "candidate_id", "idx", "x", "y")
     return {"candidates": cands.join(candidate_confidence(cands, v, px, inks), ["map_id", "candidate_id"]), "vertices": v}
 

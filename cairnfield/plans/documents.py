@@ -176,11 +176,9 @@ def _track_points(spark, sf):
 
 
 @query("w08_decimate", with_views("net_vertices", """SELECT file, track_no, pt_no FROM (SELECT map_id AS file, feature_id AS track_no, idx + 1 AS pt_no, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY feature_id, idx) - 1 AS i, COUNT(*) OVER (PARTITION BY map_id) AS n FROM net_vertices WHERE kind <> 'poi')
-WHERE n <= 500 OR i = 0 OR i = n - 1 OR i % CAST(ceil(n / 300e0) AS BIGINT) = 0"""))
+WHERE i = 0 OR i = n - 1 OR i % CAST(ceil(n / 300e0) AS BIGINT) = 0"""))
 def _(spark, sf):
-    pts = _track_points(spark, sf)
-    sizes = pts.select("file").distinct().withColumn("size_bytes", F.lit(1000))
-    return G.decimate(pts, sizes, 500, 300, 100).select("file", "track_no", "pt_no")
+    return G.decimate(_track_points(spark, sf), 300, 100).select("file", "track_no", "pt_no")
 
 
 def _project_docs(spark, sf):

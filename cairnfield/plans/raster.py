@@ -44,7 +44,7 @@ VIEWS["grown"] = (
 
 
 def _mask(spark, sf):
-    return P.color_mask(C.pixels(spark, sf), _maps(spark, sf), _chips(spark, sf))
+    return P.color_mask(C.pixels(spark, sf), _chips(spark, sf))
 
 
 @query("r01_color_mask", with_views("mask", "SELECT map_id, chip_id, x, y FROM mask"))
@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("r02_grow_mask", with_views("grown", "SELECT map_id, chip_id, x, y FROM grown"))
 def _(spark, sf):
-    return P.grow_mask(_mask(spark, sf), C.pixels(spark, sf), _maps(spark, sf), _chips(spark, sf))
+    return P.grow_mask(_mask(spark, sf), C.pixels(spark, sf), _chips(spark, sf))
 
 
 _DIL = "SELECT DISTINCT map_id, chip_id, x + dx AS x, y + dy AS y FROM mask, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)"
@@ -121,7 +121,7 @@ def _(spark, sf):
 
 def _graph(spark, sf):
     labelled, skeleton = _skeleton(spark, sf)
-    return T.skeleton_graph(P.drop_filled(skeleton, labelled, 0), _maps(spark, sf))
+    return T.skeleton_graph(P.drop_filled(skeleton, labelled, 0))
 
 
 def _flat(df):
@@ -182,12 +182,12 @@ _BIN = "((r >> 4) << 8) | ((g >> 4) << 4) | (b >> 4)"
 
 @query("g16_color_histogram", with_views("pixels", f"SELECT map_id, {_BIN} AS bin, COUNT(*) AS n FROM pixels GROUP BY map_id, bin"))
 def _(spark, sf):
-    return P.color_histogram(C.pixels(spark, sf), _maps(spark, sf))
+    return P.color_histogram(C.pixels(spark, sf))
 
 
 @query("g17_cluster_bins")
 def _(spark, sf):
-    return P.cluster_bins(P.color_histogram(C.pixels(spark, sf), _maps(spark, sf)))
+    return P.cluster_bins(P.color_histogram(C.pixels(spark, sf)))
 
 
 VIEWS["edged"] = (
@@ -207,14 +207,14 @@ def _(spark, sf):
 FROM (SELECT map_id, bin, COUNT(*) AS n, COUNT(*) FILTER (edge) AS edges, AVG(r) AS r, AVG(g) AS g, AVG(b) AS b FROM edged GROUP BY map_id, bin) a JOIN (SELECT map_id, COUNT(*) AS total FROM edged GROUP BY map_id) t ON t.map_id = a.map_id
 LEFT JOIN (SELECT map_id, bin, MAX(e / CAST(k AS DOUBLE)) AS loc FROM (SELECT map_id, bin, COUNT(*) AS k, COUNT(*) FILTER (edge) AS e FROM edged GROUP BY map_id, bin, x // 32, y // 32 HAVING COUNT(*) >= 8) GROUP BY map_id, bin) l ON l.map_id = a.map_id AND l.bin = a.bin"""))
 def _(spark, sf):
-    px, m = C.pixels(spark, sf), _maps(spark, sf)
-    own = P.color_histogram(px, m).select("map_id", "bin", c("bin").alias("cluster"))
-    return rounded(P.cluster_stats(px, m, own), ["share", "thinness"], 8)
+    px = C.pixels(spark, sf)
+    own = P.color_histogram(px).select("map_id", "bin", c("bin").alias("cluster"))
+    return rounded(P.cluster_stats(px, own), ["share", "thinness"], 8)
 
 
 @query("g19_scan_colors")
 def _(spark, sf):
-    return rounded(P.scan_colors(C.pixels(spark, sf), _maps(spark, sf)).select("map_id", "rank", "r", "g", "b", "name", "likely", "score"), ["score"], 8)
+    return rounded(P.scan_colors(C.pixels(spark, sf)).select("map_id", "rank", "r", "g", "b", "name", "likely", "score"), ["score"], 8)
 
 
 @query("k02_diverse_colors", with_views("pixels", """WITH RECURSIVE cand AS (SELECT map_id, c AS cluster, r, g, b, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY score DESC, c) AS k FROM (SELECT DISTINCT map_id, x % 40 AS c, (x % 40) * 6 AS r, 255 - (x % 40) * 5 AS g, (x % 40) * 37 % 256 AS b, ((x % 40) * 17 % 23) AS score FROM pixels)),
@@ -267,7 +267,7 @@ def _(spark, sf):
     base = _chips(spark, sf)
     cols = {"seq": c("chip_id").cast("bigint"), "r": c("r").cast("double"), "g": c("g").cast("double"), "b": c("b").cast("double"), "enabled": F.lit(False), "share": F.lit(0.1)}
     existing = base.withColumns(cols).withColumn("chip_id", c("chip_id").cast("string"))
-    scanned = P.scan_colors(C.pixels(spark, sf), _maps(spark, sf)).select(
+    scanned = P.scan_colors(C.pixels(spark, sf)).select(
         "map_id", c("rank").cast("bigint").alias("seq"), *[c(k).cast("double").alias(k) for k in "rgb"], "name", F.lit(True).alias("enabled"), "share", F.lit(False).alias("named")
     )
     return P.merge_chips(existing, scanned).select("map_id", "seq", "chip_id", "r", "g", "b", "name", "enabled", "named")
@@ -297,7 +297,7 @@ def _(spark, sf):
     })
     chips = base.select("map_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("chip_id"))
     chips = chips.withColumns({n: c("map_id") * c("chip_id") * m % 256 for n, m in (("r", 7), ("g", 11), ("b", 13))})
-    return P.effective_options(maps, chips)
+    return P.effective_options(maps, chips, 1000)
 
 
 def _cands(spark, sf):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.constants import DISPLAY_POINTS, LARGE_GPX_BYTES, LARGE_GPX_POINTS, MIN_DISPLAY_BUDGET
 from cairnfield.operators.ordered import chunk_of, number_rows, running
 from cairnfield.session import cut
 
@@ -94,11 +93,12 @@ def gps_lines(pts: DataFrame) -> DataFrame:
     )
 
 
-def decimate(pts: DataFrame, sizes: DataFrame, max_points: int = LARGE_GPX_POINTS, display: int = DISPLAY_POINTS, budget: int = MIN_DISPLAY_BUDGET) -> DataFrame:
-    """Thin the lines of large files for display; all waypoints and both line ends stay.
+def decimate(pts: DataFrame, budget: int, least: int = 1) -> DataFrame:
+    """Thin the lines of every file to about ``budget`` points, waypoints included; all waypoints and both line ends stay.
 
-    ``sizes`` has (file, size_bytes). A point's place in its file is its number within its segment
-    plus the lengths of the segments before it, so only one row per segment is put in order.
+    Lines get ``least`` points at least, however many waypoints there are. A point's place in its
+    file is its number within its segment plus the lengths of the segments before it, so only one
+    row per segment is put in order.
     """
     c = F.col
     linear = pts.where("kind <> 'wpt'")
@@ -109,10 +109,9 @@ def decimate(pts: DataFrame, sizes: DataFrame, max_points: int = LARGE_GPX_POINT
     segs = cut(running(segs, ["file"], c("_n"), "_before", idx="_k", inclusive=False))
     total = segs.groupBy("file").agg(F.sum("_n").alias("_linear"))
     way = pts.where("kind = 'wpt'").groupBy("file").agg(F.count("*").alias("_way"))
-    per_file = sizes.join(total, "file", "left").join(way, "file", "left").fillna(0, ["_linear", "_way"])
-    large = (c("size_bytes") > LARGE_GPX_BYTES) | (c("_linear") + c("_way") > max_points)
-    room = F.greatest(F.lit(budget), F.lit(display) - c("_way"))
-    per_file = per_file.select("file", "_linear", F.when(large, F.greatest(F.lit(1), F.ceil(c("_linear") / room))).otherwise(1).alias("_stride"))
+    per_file = total.join(way, "file", "left").fillna(0, ["_way"])
+    room = F.greatest(F.lit(least), F.lit(budget) - c("_way"))
+    per_file = per_file.select("file", "_linear", F.greatest(F.lit(1), F.ceil(c("_linear") / room)).alias("_stride"))
     on = segs.select(c("file").alias("_f"), c("kind").alias("_kd"), c("track_no").alias("_t"), c("seg_no").alias("_s"), "_before")
     rows = linear.join(on, (c("file") == c("_f")) & (c("kind") == c("_kd")) & (c("track_no") == c("_t")) & c("seg_no").eqNullSafe(c("_s")))
     rows = rows.join(per_file, "file").withColumn("_i", c("_before") + c("pt_no") - 1)

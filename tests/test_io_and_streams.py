@@ -60,22 +60,20 @@ def test_thinning_blocks_equal_whole(spark, monkeypatch):
     assert {(r.y, r.x) for r in got.collect()} == set(zip(*map(list, np.nonzero(want))))
 
 
-def _requests(spark):
-    rows = [("s" if i % 3 else "t", i, float((i * i * 7) % 5000)) for i in range(300)]
-    return rows, spark.createDataFrame(rows, "source_id string, event_id bigint, at double").withColumn("ts", F.timestamp_seconds("at"))
-
-
-def test_admission_equals_walk(spark):
-    rows, df = _requests(spark)
-    want = set()
-    for source in "st":
-        live = []
-        for _, ident, at in sorted((r for r in rows if r[0] == source), key=lambda r: (r[2], r[1])):
-            live = [s for s in live if at - s < 100]
-            if len(live) < 3:
-                live.append(at)
-                want.add(ident)
-    assert {r.event_id for r in S.admit(df, 3, 100, 2).collect()} == want
+def test_request_rates_stream_equals_batch(spark, tmp_path):
+    rows = [("s" if i % 3 else "t", 1, "k", i * 100, 1, 200, 10 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "source_id string, map_id bigint, key string, s bigint, attempt int, status int, bytes bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).withColumn("retry_after_s", F.lit(None).cast("double"))
+    cols = ["source_id", "map_id", "key", "ts", "attempt", "status", "bytes", "retry_after_s"]
+    for part in range(3):
+        df.where(F.col("s") % 3 == part).select(*cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rates = S.request_rates(S.requests(spark, str(tmp_path / "in"), "1 day"))
+    q = rates.writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).outputMode("update").start()
+    q.processAllAvailable()
+    q.stop()
+    last = spark.table("rates").groupBy("window_start", "source_id").agg(F.max("requests").alias("n"), F.max("bytes").alias("b"))
+    want = S.request_rates(df).select("window_start", "source_id", "requests", "bytes")
+    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_cell_change_stream_equals_batch(spark, tmp_path):
@@ -88,3 +86,38 @@ def test_cell_change_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.device_id, r.ts) for r in spark.table("cells").collect()}
     assert got == {(r.device_id, r.ts) for r in S.cell_changes(df).collect()}
+
+
+def test_pixels_of_a_png_and_a_broken_file(spark, tmp_path):
+    import struct
+    import zlib
+
+    from cairnfield.sources.images import read_pixels, unreadable_images
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = b"".join(b"\0" + bytes([10 * y + x, y, x]) * 1 + bytes([1, 2, 3]) * 2 for y in range(4) for x in [0])
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 4, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    (tmp_path / "im").mkdir()
+    (tmp_path / "im" / "a.png").write_bytes(png)
+    (tmp_path / "im" / "b.png").write_bytes(b"not an image")
+    got = {(r.x, r.y): (r.r, r.g, r.b, r.a) for r in read_pixels(spark, str(tmp_path / "im")).collect()}
+    assert got == {(x, y): (10 * y, y, 0, 255) if x == 0 else (1, 2, 3, 255) for x in range(3) for y in range(4)}
+    assert {(r.x, r.y) for r in read_pixels(spark, str(tmp_path / "im"), 2).collect()} == {(x, y) for x in range(2) for y in range(2)}
+    assert [r.map_id for r in unreadable_images(spark, str(tmp_path / "im")).collect()] == ["b.png"]
+
+
+def test_dots_are_strung_with_edges_of_their_own(spark):
+    """Dots met in the order 5-3-7-2-9 behind a line end: every edge has its own id and two points."""
+    from cairnfield.operators import trace as T
+
+    raster = "named_struct('map_id', 1, 'chip_id', 1) as raster"
+    spots = {1: 0.0, 5: 14.0, 3: 18.0, 7: 22.0, 2: 26.0, 9: 30.0, 11: -10.0}
+    nodes = spark.createDataFrame([(k, x, 0.0) for k, x in spots.items()], "node bigint, x double, y double").selectExpr(raster, "node", "x", "y")
+    edges = spark.createDataFrame([(11, 11, 1, 10.0)], "edge bigint, a bigint, b bigint, len double").selectExpr(raster, "edge", "a", "b", "len")
+    points = spark.createDataFrame([(11, 0, -10.0, 0.0), (11, 1, 0.0, 0.0)], "edge bigint, idx bigint, x double, y double").selectExpr(raster, "edge", "idx", "x", "y")
+    out = T.bridge({"nodes": nodes, "edges": edges, "points": points}, 6.0, F.lit(8.0))
+    made = out["edges"].collect()
+    pairs = {frozenset((r.a, r.b)) for r in made}
+    assert {frozenset(p) for p in ((1, 11), (1, 5), (5, 3), (3, 7), (7, 2), (2, 9))} <= pairs
+    assert len({r.edge for r in made}) == len(made)
+    assert {r["count"] for r in out["points"].groupBy("edge").count().collect()} == {2}
