@@ -126,7 +126,21 @@ def mail(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("message", F.concat_ws("\n", marked(F.col("t2"), "> > "), marked(F.col("t1"), "> "), "text").alias("text"))
 
 
-@query("op9_quote_threads")
+_THREADS_SQL = r"""WITH RECURSIVE turns AS (SELECT conv_id, turn, MIN(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+mail AS (SELECT a.conv_id * 1000 + a.turn AS message, concat_ws(chr(10), '> > ' || split_part(c.text, chr(10), 1), '> ' || replace(b.text, chr(10), chr(10) || '> '), a.text) AS text
+ FROM turns a LEFT JOIN turns b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN turns c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2),
+l AS (SELECT message, unnest(l) AS raw, unnest(range(len(l))) AS k FROM (SELECT message, string_split_regex(text, '\r?\n') AS l FROM mail)),
+q AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^[ \t]*(?:>[ \t]*)+'), '[ \t]', '', 'g')) AS level, trim(regexp_replace(lower(regexp_replace(raw, '^[ \t]*(?:>[ \t]*)+', '')), '\s+', ' ', 'g')) AS body FROM l),
+p AS (SELECT *, SUM(step) OVER (PARTITION BY message ORDER BY k) AS passage FROM (SELECT *, CASE WHEN level <> coalesce(LAG(level) OVER (PARTITION BY message ORDER BY k), -1) THEN 1 ELSE 0 END AS step FROM q WHERE body <> '')),
+w AS (SELECT message, level, passage, string_agg(body, ' ' ORDER BY k) AS h, 1 AS kind FROM p GROUP BY message, level, passage UNION ALL SELECT message, level, passage, body, 0 FROM p WHERE length(body) >= 12),
+said AS (SELECT h, kind, MIN(message) AS origin FROM w WHERE level = 0 GROUP BY h, kind),
+link AS (SELECT message, origin AS parent FROM (SELECT w.message, origin, ROW_NUMBER() OVER (PARTITION BY w.message ORDER BY level, 1 - w.kind, passage, origin) AS r FROM w JOIN said ON said.h = w.h AND said.kind = w.kind WHERE level > 0 AND origin < w.message) WHERE r = 1),
+tree AS (SELECT m.message, m.message AS thread, CAST(0 AS BIGINT) AS depth FROM mail m ANTI JOIN link ON link.message = m.message UNION ALL SELECT link.message, tree.thread, tree.depth + 1 FROM tree JOIN link ON link.parent = tree.message)
+SELECT t.message, t.thread, link.parent, t.depth, ROW_NUMBER() OVER (PARTITION BY t.thread ORDER BY t.message) - 1 AS position, COUNT(*) OVER (PARTITION BY t.thread) AS n_thread,
+ coalesce((SELECT string_agg(raw, chr(10) ORDER BY k) FROM q WHERE q.message = t.message AND level = 0), '') AS text FROM tree t LEFT JOIN link ON link.message = t.message"""
+
+
+@query("op9_quote_threads", _THREADS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.conversations(cut(mail(spark, sf)))
 
