@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnfield.constants import METRIC_RADIUS_M
-from cairnfield.functions.geo import D2R, haversine_m
+from cairnfield.functions.geo import D2R, finite, haversine_m
 from cairnfield.functions.plane import crosses_ray, project_on_segment, segment_intersects_rect
 from cairnfield.functions.text import fixed
 from cairnfield.operators.grid import box_cells, point_cells, point_cells_around, segment_cells
@@ -355,12 +355,14 @@ def nearest_segments(
     """The nearest segment of the same key for every point (px, py), exact at any distance.
 
     Points look into the 3x3 cells around them, which must hold everything within one cell size. A
-    point whose best is farther than that tries again with cells twice as large; only those few
-    go on. Ties go to the first segment.
+    point whose best is farther than that tries again with cells twice as large; only those few and
+    the segments of their keys go on. Ties go to the first segment. Points and segments with a
+    coordinate that is null or not finite have no distance and are left out.
     """
     c = F.col
     keys, point_keys = list(keys), list(point_keys)
-    rest = points.join(segs.select(*keys).distinct(), keys, "left_semi")
+    segs = segs.where(finite(*map(c, ("x1", "y1", "x2", "y2"))))
+    rest = points.where(finite(c("px"), c("py"))).join(segs.select(*keys).distinct(), keys, "left_semi")
     size, found = float(start), None
     while True:
         near = point_cells_around(rest, size, "px", "py").join(segment_cells(segs, size), [*keys, "_cx", "_cy"])
@@ -375,6 +377,7 @@ def nearest_segments(
         rest = cut(rest.join(sure.select(*keys, *point_keys), [*keys, *point_keys], "left_anti"))
         if rest.isEmpty():
             return found.select(*keys, *point_keys, "b.seg", "b.t", "b.x", "b.y", "b.d2")
+        segs = segs.join(rest.select(*keys).distinct(), keys, "left_semi")
         size *= 2
 
 
@@ -384,72 +387,74 @@ def project_points(points: DataFrame, v: DataFrame, point_keys: Sequence[str]) -
     return nearest_segments(named, segments(v), KEYS, point_keys)
 
 
-def _interval_bounds(df: DataFrame, tol: float) -> DataFrame:
-    """Parameter intervals (lo, hi) of segment 1 inside the capsule around segment 2.
+def _within(df: DataFrame, tol: float) -> DataFrame:
+    """The parameter interval (lo, hi) of segment (x1..y2) that is within ``tol`` of segment (u1..w2).
 
-    The capsule is two discs and the strip between them. Terms are built up column by column, so
-    each is computed once per pair.
+    The distance to a segment is convex along a line, so there is one interval at most. Along the
+    line the nearest part of the other segment is one of its ends, then its side, then the other
+    end; within each stretch the near parameters are a centre and a half width.
     """
     c = F.col
-    zero, one = F.lit(0.0), F.lit(1.0)
-    rows = df.withColumns({
-        "_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_vx": c("u2") - c("u1"), "_vy": c("w2") - c("w1"),
-        "_wx": c("x1") - c("u1"), "_wy": c("y1") - c("w1"), "_zx": c("x1") - c("u2"), "_zy": c("y1") - c("w2"),
+    dot = lambda a, b: c(f"_{a}x") * c(f"_{b}x") + c(f"_{a}y") * c(f"_{b}y")
+    turn = lambda a, b: c(f"_{a}x") * c(f"_{b}y") - c(f"_{a}y") * c(f"_{b}x")
+    rows = df.where("x1 <> x2 or y1 <> y2").withColumns({
+        "_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_ox": c("u2") - c("u1"), "_oy": c("w2") - c("w1"),
+        "_sx": c("u1") - c("x1"), "_sy": c("w1") - c("y1"), "_ex": c("u2") - c("x1"), "_ey": c("w2") - c("y1"),
     })
     rows = rows.withColumns({
-        "_dd": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_vv": c("_vx") * c("_vx") + c("_vy") * c("_vy"),
-        "_p1": c("_wx") * c("_dx") + c("_wy") * c("_dy"), "_p2": c("_zx") * c("_dx") + c("_zy") * c("_dy"),
-        "_lv": c("_wx") * c("_vx") + c("_wy") * c("_vy"), "_ls": c("_dx") * c("_vx") + c("_dy") * c("_vy"),
-        "_cv": c("_wx") * c("_vy") - c("_wy") * c("_vx"), "_cs": c("_dx") * c("_vy") - c("_dy") * c("_vx"),
+        "_dd": dot("d", "d"), "_oo": dot("o", "o"), "_along": dot("d", "o"), "_across": turn("d", "o"),
+        "_foot": -dot("s", "o"), "_off": turn("s", "o"),
     })
+
+    def disc(k: str) -> dict[str, Column]:
+        """Centre and half width of the stretch inside the disc around one end; no width if it is missed."""
+        room = c("_dd") * (tol * tol) - turn("d", k) * turn("d", k)
+        return {f"_{k}c": dot("d", k) / c("_dd"), f"_{k}h": F.when(room >= 0, F.sqrt(room) / c("_dd"))}
+
+    # Parallel sides are near everywhere or nowhere.
+    parallel, reach = F.abs("_across") < 1e-12, F.sqrt("_oo") * tol
+    level, zero, one = F.abs("_along") < 1e-12, F.lit(0.0), F.lit(1.0)
+    at = lambda t: t / F.nullif(c("_along"), zero)
     rows = rows.withColumns({
-        "_k1": c("_p1") * c("_p1") - c("_dd") * (c("_wx") * c("_wx") + c("_wy") * c("_wy") - tol * tol),
-        "_k2": c("_p2") * c("_p2") - c("_dd") * (c("_zx") * c("_zx") + c("_zy") * c("_zy") - tol * tol),
-        "_reach": F.sqrt("_vv") * tol,
+        **disc("s"), **disc("e"),
+        "_mc": F.when(parallel, 0.0).otherwise(c("_off") / F.nullif(c("_across"), zero)),
+        "_mh": F.when(~parallel, reach / F.nullif(F.abs("_across"), zero)).when(F.abs("_off") <= reach, float("inf")),
+        "_ta": at(-c("_foot")), "_tb": at(c("_oo") - c("_foot")),
+        "_beside": (c("_foot") > 0) & (c("_foot") < c("_oo")),
     })
-    root = {f"_q{i}": F.sqrt(F.greatest(c(f"_k{i}"), zero)) for i in (1, 2)}
-    edge = {
-        "_la": (zero - c("_lv")) / F.nullif(c("_ls"), zero), "_lb": (c("_vv") - c("_lv")) / F.nullif(c("_ls"), zero),
-        "_ca": (-c("_reach") - c("_cv")) / F.nullif(c("_cs"), zero), "_cb": (c("_reach") - c("_cv")) / F.nullif(c("_cs"), zero),
-        "_lin": (c("_lv") >= 0) & (c("_lv") <= c("_vv")), "_cin": F.abs("_cv") <= c("_reach"),
-        "_lflat": F.abs("_ls") < 1e-12, "_cflat": F.abs("_cs") < 1e-12,
-    }
-    rows = rows.withColumns({**root, **edge})
-
-    def band(k: str) -> tuple[Column, Column]:
-        return (
-            F.when(c(f"_{k}flat"), F.when(c(f"_{k}in"), 0.0).otherwise(1.0)).otherwise(F.greatest(zero, F.least(f"_{k}a", f"_{k}b"))),
-            F.when(c(f"_{k}flat"), F.when(c(f"_{k}in"), 1.0).otherwise(0.0)).otherwise(F.least(one, F.greatest(f"_{k}a", f"_{k}b"))),
-        )
+    fore = F.when(level, c("_foot") <= 0).otherwise(c("_along") > 0)
+    # Where the side begins and ends, also outside of 0..1: a stretch that lies outside must stay empty.
+    rows = rows.withColumns({
+        "_from": F.when(level, F.when(c("_beside"), 0.0).otherwise(2.0)).otherwise(F.least("_ta", "_tb")),
+        "_to": F.when(level, F.when(c("_beside"), 1.0).otherwise(2.0)).otherwise(F.greatest("_ta", "_tb")),
+        "_ac": F.when(fore, c("_sc")).otherwise(c("_ec")), "_ah": F.when(fore, c("_sh")).otherwise(c("_eh")),
+        "_zc": F.when(fore, c("_ec")).otherwise(c("_sc")), "_zh": F.when(fore, c("_eh")).otherwise(c("_sh")),
+    })
+
+    def span(start: Column, stop: Column, k: str) -> Column:
+        lo, hi = F.greatest(zero, start, c(f"_{k}c") - c(f"_{k}h")), F.least(one, stop, c(f"_{k}c") + c(f"_{k}h"))
+        return F.when(c(f"_{k}h").isNotNull() & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi")))
 
-    (l1, l2), (c1, c2) = band("l"), band("c")
-    disc = {}
-    for i in (1, 2):
-        hit = c(f"_k{i}") >= 0
-        disc[f"_lo{i}"] = F.when(hit, F.greatest(zero, (-c(f"_p{i}") - c(f"_q{i}")) / c("_dd")))
-        disc[f"_hi{i}"] = F.when(hit, F.least(one, (-c(f"_p{i}") + c(f"_q{i}")) / c("_dd")))
-    strip = {"_lo3": F.when(c("_vv") > 0, F.greatest(l1, c1)), "_hi3": F.when(c("_vv") > 0, F.least(l2, c2))}
-    rows = rows.where("_dd > 0").withColumns({**disc, **strip})
-    keep = [n for n in df.columns]
-    part = [F.when(c(f"_hi{i}") > c(f"_lo{i}"), F.struct(c(f"_lo{i}").alias("lo"), c(f"_hi{i}").alias("hi"))) for i in (1, 2, 3)]
-    rows = rows.select(*keep, F.explode(F.array_compact(F.array(*part))).alias("_i"))
-    return rows.select(*keep, "_i.lo", "_i.hi")
+    met = F.array_compact(F.array(span(zero, c("_from"), "a"), span(c("_from"), c("_to"), "m"), span(c("_to"), one, "z")))
+    rows = rows.select(*df.columns, met.alias("_met"))
+    # Exploding the one hull keeps the filter behind it, where both bounds are plain columns.
+    hull = F.struct(F.array_min("_met.lo").alias("lo"), F.array_max("_met.hi").alias("hi"))
+    return rows.select(*df.columns, F.explode(F.array(hull)).alias("_i")).select(*df.columns, "_i.lo", "_i.hi").where("hi > lo")
 
 
 def capsule_intervals(a: DataFrame, b: DataFrame, tol: float, keys: Sequence[str], cell_size: float = 64.0) -> DataFrame:
-    """For each segment of ``a`` (seg_id, x1..y2): the parameter intervals within ``tol`` of ``b``.
+    """For each segment of ``a`` (seg_id, x1..y2): the parameter interval within ``tol`` of each of ``b``.
 
-    The test is between segments in shared cells only; a pair that shares several cells is kept in
-    the cell where both first meet, so nothing is compared twice.
+    Segments meet in shared cells; a pair that shares several cells is one row.
     """
     c = F.col
     keys = list(keys)
     own = segment_cells(a.select(*keys, "seg_id", "x1", "y1", "x2", "y2"), cell_size, tol)
     other = segment_cells(b.select(*keys, "seg_id", "x1", "y1", "x2", "y2"), cell_size).select(
-        *keys, c("seg_id").alias("_o"), c("x1").alias("u1"), c("y1").alias("w1"), c("x2").alias("u2"), c("y2").alias("w2"), "_cx", "_cy"
+        *keys, c("seg_id").alias("other_id"), c("x1").alias("u1"), c("y1").alias("w1"), c("x2").alias("u2"), c("y2").alias("w2"), "_cx", "_cy"
     )
     pairs = own.join(other, [*keys, "_cx", "_cy"])
-    return _interval_bounds(pairs, tol).select(*keys, "seg_id", "lo", "hi").distinct()
+    return _within(pairs, tol).select(*keys, "seg_id", "other_id", "lo", "hi").distinct()
 
 
 def line_match(found: DataFrame, truth: DataFrame, tol: float, key: str = "map_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Ordered, graph and line helpers against plain Python on small data."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.operators import ordered
 from cairnfield.operators.graph import connected_components, greedy_match, list_rank
+from cairnfield.operators.lines import _within
 from cairnfield.operators.simplify import _keep_in_range, keep_vertices, renumber
 
 
@@ -79,3 +81,40 @@ def test_long_lines_split_like_short_ones(spark, monkeypatch):
     assert got == keep
     again = renumber(df.where("idx % 3 = 0")).orderBy("idx").collect()
     assert [r.x for r in again] == [float(v) for v in range(0, n, 3)]
+
+
+def test_near_interval_against_sampling(spark):
+    """The interval of a segment near another one: its ends are at the tolerance, all samples agree."""
+    rng = random.Random(5)
+    # The first pair just leaves the other's start before its own end.
+    rows = [(0, 1545.0, 1268.0, 219.0, 236.0, 218.0, 241.0, 50.0, 368.0)]
+    for i in range(1, 1500):
+        p = [rng.choice([rng.uniform(0, 40), float(rng.randint(0, 12))]) for _ in range(8)]
+        if i % 5 == 0:
+            p[5], p[1] = p[7], p[3]
+        if i % 7 == 0:
+            p[6:8] = p[4:6]
+        if i % 11 == 0:
+            p[4:8] = p[0:4]
+        rows.append((i, *p))
+    pairs = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double, u1 double, w1 double, u2 double, w2 double")
+    got = {r.id: (r.lo, r.hi) for r in _within(pairs, 5.0).collect()}
+
+    def away(x1, y1, x2, y2, u1, w1, u2, w2, t):
+        x, y, vx, vy = x1 + (x2 - x1) * t - u1, y1 + (y2 - y1) * t - w1, u2 - u1, w2 - w1
+        k = max(0.0, min(1.0, (x * vx + y * vy) / (vx * vx + vy * vy))) if vx or vy else 0.0
+        return math.hypot(x - k * vx, y - k * vy)
+
+    for i, *p in rows:
+        if p[0:2] == p[2:4]:
+            assert i not in got
+            continue
+        near = [k / 500 for k in range(501) if away(*p, k / 500) <= 5]
+        if i not in got:
+            assert len(near) < 2
+            continue
+        lo, hi = got[i]
+        assert lo == 0 or abs(away(*p, lo) - 5) < 1e-6
+        assert hi == 1 or abs(away(*p, hi) - 5) < 1e-6
+        assert away(*p, lo) < 5 + 1e-6 and away(*p, hi) < 5 + 1e-6
+        assert not near or (near[0] >= lo - 1e-9 and near[-1] <= hi + 1e-9)
