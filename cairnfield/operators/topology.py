@@ -87,8 +87,11 @@ def near_ends(v: DataFrame, tolerance: float) -> DataFrame:
     Coordinates keep their two least trails only, which is enough to answer for every end, so one
     crowded spot does not multiply.
     """
+    return _near_ends(cut(trail_ends(v)), tolerance)
+
+
+def _near_ends(ends: DataFrame, tolerance: float) -> DataFrame:
     c = F.col
-    ends = trail_ends(v)
     per_trail = ends.groupBy("map_id", "x", "y", "feature_id").agg(F.min("side").alias("side"))
     two = top_by(per_trail, ["map_id", "x", "y"], [c("feature_id")], 2)
     size = max(tolerance, 1e-9)
@@ -124,13 +127,15 @@ INSIDE = "t > 1e-9 and t < 1 - 1e-9"
 def maps_needing_cleanup(v: DataFrame, tolerance: float) -> DataFrame:
     """Per map: would snapping change anything? Says so without rebuilding a line."""
     c = F.col
-    near = cut(near_ends(v, tolerance))
-    ends = trail_ends(v)
-    # A pair apart needs a move. Ends that coincide with their nearest may still have one apart.
-    links = spot_links(ends, tolerance).select(c("a.map_id").alias("map_id"))
-    lone = ends.join(near, [*KEYS, "side"], "left_anti")
-    hits = nearest_segment(lone, segments(v.select(*KEYS, "idx", "x", "y")), tolerance).where(f"d2 > 0 or ({INSIDE})").select("map_id")
-    dirty = links.unionByName(hits).distinct().withColumn("needs_cleanup", F.lit(True))
+    v = cut(v.select(*KEYS, "idx", "x", "y"))
+    ends = cut(trail_ends(v))
+    # A pair apart needs a move and decides its map; only the other maps look for segments.
+    moved = cut(spot_links(ends, tolerance).select(c("a.map_id").alias("map_id")).distinct())
+    open_ends = ends.join(moved, "map_id", "left_anti")
+    lone = open_ends.join(_near_ends(open_ends, tolerance), [*KEYS, "side"], "left_anti")
+    path = segments(v.join(moved, "map_id", "left_anti"))
+    hits = nearest_segment(lone, path, tolerance).where(f"d2 > 0 or ({INSIDE})").select("map_id").distinct()
+    dirty = moved.unionByName(hits).withColumn("needs_cleanup", F.lit(True))
     return v.select("map_id").distinct().join(dirty, "map_id", "left").fillna(False, ["needs_cleanup"])
 
 
@@ -143,7 +148,7 @@ def snap_ends(v: DataFrame, tolerance: float) -> DataFrame:
     c = F.col
     if not tolerance > 0 or math.isinf(tolerance):
         return v.select(*KEYS, "idx", "x", "y").limit(0)
-    v = v.select(*KEYS, "idx", "x", "y")
+    v = cut(v.select(*KEYS, "idx", "x", "y"))
     clusters = cut(endpoint_clusters(v, tolerance))
     hits = cut(nearest_segment(clusters.where("size < 2"), segments(v), tolerance))
     targets = clusters.where("size >= 2").select(*KEYS, "side", "x", "y", c("cluster_x").alias("tx"), c("cluster_y").alias("ty")).unionByName(
