@@ -253,11 +253,21 @@ def _(spark, sf):
     return rounded(P.snap_to_ink(pts, C.pixels(spark, sf), ["pid"], 40.0, 6.0), ["score"], 5)
 
 
-@query("j13_pick_ink", with_views("pixels", f"""WITH p AS {_PTS}, q AS (SELECT p.map_id, p.pid, CAST(floor(px + 0.5e0) AS INTEGER) AS ax, CAST(floor(py + 0.5e0) AS INTEGER) AS ay, x, y, r, g, b FROM p JOIN pixels z ON z.map_id = p.map_id AND abs(z.x - floor(px + 0.5e0)) <= 6 AND abs(z.y - floor(py + 0.5e0)) <= 6),
-m AS (SELECT map_id, pid, AVG(r) AS mr, AVG(g) AS mg, AVG(b) AS mb FROM q GROUP BY map_id, pid),
-s AS (SELECT q.*, sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)) - sqrt(pow(x - ax, 2) + pow(y - ay, 2)) * 2 AS sc FROM q JOIN m ON m.map_id = q.map_id AND m.pid = q.pid)
-SELECT w.map_id, w.pid, CASE WHEN w.sc >= 10 THEN w.r ELSE k.r END AS r, CASE WHEN w.sc >= 10 THEN w.g ELSE k.g END AS g, CASE WHEN w.sc >= 10 THEN w.b ELSE k.b END AS b FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, pid ORDER BY sc DESC, y, x) AS rn FROM s WHERE pow(x - ax, 2) + pow(y - ay, 2) <= 9) w
-JOIN (SELECT * FROM s WHERE x = ax AND y = ay) k ON k.map_id = w.map_id AND k.pid = w.pid WHERE rn = 1"""))
+_DISC = ", ".join(f"({dx}, {dy})" for dx in range(-3, 4) for dy in range(-3, 4) if dx * dx + dy * dy <= 9)
+_AROUND = "PARTITION BY map_id, {line} ORDER BY {pos} RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING"
+_BY_ROW, _BY_COLUMN = _AROUND.format(line="y", pos="x"), _AROUND.format(line="x", pos="y")
+
+
+# Box sums run along rows, then columns, but for spots without a pixel of their own there are no probes.
+@query("j13_pick_ink", with_views("pixels", f"""WITH full_grid AS (SELECT map_id, x, y FROM (SELECT DISTINCT map_id, x FROM pixels), LATERAL (SELECT unnest(range(100)) AS y)),
+g AS (SELECT f.map_id, f.x, f.y, p.r, p.g, p.b FROM full_grid f LEFT JOIN pixels p ON p.map_id = f.map_id AND p.x = f.x AND p.y = f.y),
+h AS (SELECT map_id, x, y, r, SUM(r) OVER w AS sr, SUM(g) OVER w AS sg, SUM(b) OVER w AS sb, COUNT(r) OVER w AS n FROM g WINDOW w AS ({_BY_ROW})),
+m AS (SELECT map_id, x, y, SUM(sr) OVER w / SUM(n) OVER w AS mr, SUM(sg) OVER w / SUM(n) OVER w AS mg, SUM(sb) OVER w / SUM(n) OVER w AS mb, r FROM h WINDOW w AS ({_BY_COLUMN})),
+s AS (SELECT m.map_id, m.x AS ax, m.y AS ay, q.x, q.y, q.r, q.g, q.b, sqrt(pow(q.r - mr, 2) + pow(q.g - mg, 2) + pow(q.b - mb, 2)) - sqrt(dx * dx + dy * dy) * 2e0 AS sc
+ FROM m, (VALUES {_DISC}) d(dx, dy), pixels q WHERE m.r IS NOT NULL AND q.map_id = m.map_id AND q.x = m.x + dx AND q.y = m.y + dy),
+w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, ax, ay ORDER BY sc DESC, y, x) AS rn FROM s)
+SELECT w.map_id, CAST(w.ax * 1000 + w.ay AS INTEGER) AS pid, CASE WHEN sc >= 10 THEN w.r ELSE k.r END AS r, CASE WHEN sc >= 10 THEN w.g ELSE k.g END AS g, CASE WHEN sc >= 10 THEN w.b ELSE k.b END AS b
+FROM w JOIN pixels k ON k.map_id = w.map_id AND k.x = w.ax AND k.y = w.ay WHERE rn = 1"""))
 def _(spark, sf):
     return P.pick_ink(_probe(spark, sf), C.pixels(spark, sf), ["pid"], 3.0)
 
