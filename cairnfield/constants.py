@@ -85,3 +85,10 @@ POI_SYMBOLS = [
     ("Waypoint", "Waypoint", "placemark_circle"),
 ]
 KML_ICON_PREFIX = "https://maps.google.com/mapfiles/kml/shapes/"
+
+# fixed values: looks of exported features
+KML_LINE_WIDTH = "4"
+KML_ICON_SCALE = "1.1"
+KML_FILL_ALPHA = "55"
+KML_OVERLAY_COLOR = "ccffffff"
+KML_FOLDERS = ["Trails", "Areas", "Points of interest"]

@@ -182,30 +182,36 @@ def _(spark, sf):
 
 
 def _project_docs(spark, sf):
-    """A JSON document per customer map, versions 1 to 5, with its trails as features."""
+    """A JSON document per customer map, versions 1 to 5, with all its features."""
     f = C.features(spark, sf)
     v = C.vertices(spark, sf)
-    # Lines have at most eight points and a feature is its own array element of bounded size.
+    # Lines have at most eight points, and a customer has some dozens of orders.
     pts = v.groupBy(*L.KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("pts"))
-    rows = f.join(pts, L.KEYS).where("kind <> 'poi'")
+    poi = c("kind") == "poi"
+    one = F.struct(
+        c("feature_id").cast("string").alias("id"), "name", "color", "notes", "kind", F.when(~poi, c("pts")).alias("pts"), F.when(poi, c("pts")[0]).alias("at"),
+        F.when(poi, c("poi_type")).alias("poiType"), F.struct(c("route_kind").alias("kind"), c("route_direction").alias("direction")).alias("route"),
+    )
+    rows = f.join(pts, L.KEYS).groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", one.alias("f")))).alias("_f"))
     doc = F.struct(
-        (c("feature_id") % 5 + 1).alias("version"), c("name"), F.lit("auto").alias("fitMethod"), F.struct(F.lit(2000).alias("width"), F.lit(1500).alias("height")).alias("image"),
-        F.array(F.struct(c("feature_id").cast("string").alias("id"), "name", "color", "notes", "kind", "pts", F.struct(c("route_kind").alias("kind"), c("route_direction").alias("direction")).alias("route"))).alias("features"),
+        (c("map_id") % 5 + 1).alias("version"), F.concat(F.lit("Map "), c("map_id").cast("string")).alias("name"), F.lit("auto").alias("fitMethod"),
+        F.struct(F.lit(2000).alias("width"), F.lit(1500).alias("height")).alias("image"), F.transform("_f", lambda x: x["f"]).alias("features"),
     )
-    return rows.select(c("feature_id").alias("doc"), F.to_json(doc).alias("json"))
+    return rows.select(c("map_id").alias("doc"), F.to_json(doc).alias("json"))
 
 
-@query("s04_read_projects", with_views("features vertices", """SELECT f.feature_id AS map_id, f.kind, CASE WHEN f.feature_id % 5 + 1 = 4 OR f.kind <> 'trail' THEN f.route_kind END AS route_kind, n AS points FROM features f
- JOIN (SELECT feature_id, COUNT(*) AS n FROM vertices GROUP BY feature_id) v ON v.feature_id = f.feature_id WHERE f.kind <> 'poi' AND f.feature_id % 5 + 1 <= 4"""))
+@query("s04_read_projects", with_views("features vertices", """SELECT f.map_id, CAST(f.feature_id AS VARCHAR) AS feature_id, f.kind, CASE WHEN f.kind = 'poi' THEN f.poi_type END AS poi_type, CASE WHEN f.map_id % 5 + 1 = 4 OR f.kind <> 'trail' THEN f.route_kind END AS route_kind,
+ CASE WHEN f.kind = 'poi' THEN 1 ELSE n END AS points, round(CASE WHEN f.kind = 'poi' THEN first_x ELSE sum_x END, 6) AS x FROM features f
+ JOIN (SELECT feature_id, COUNT(*) AS n, SUM(x * (idx + 1)) AS sum_x, arg_min(x, idx) AS first_x FROM vertices GROUP BY feature_id) v ON v.feature_id = f.feature_id WHERE f.map_id % 5 + 1 <= 4"""))
 def _(spark, sf):
     docs, _ = P.from_project_text(_project_docs(spark, sf), "doc", "json")
     t = P.tables(docs)
-    n = t["vertices"].groupBy(*L.KEYS).agg(F.count("*").alias("points"))
+    n = t["vertices"].groupBy(*L.KEYS).agg(F.count("*").alias("points"), r(F.sum(c("x") * (c("idx") + 1)), 6).alias("x"))
     # Versions below 4 all pass the step that clears trail routes.
-    return t["features"].join(n, L.KEYS).select("map_id", "kind", "route_kind", "points")
+    return t["features"].join(n, L.KEYS).select("map_id", "feature_id", "kind", "poi_type", "route_kind", "points", "x")
 
 
-@query("u04_migrations", with_views("features", "SELECT version, COUNT(*) AS docs FROM (SELECT CASE WHEN feature_id % 5 + 1 <= 4 THEN 4 ELSE 5 END AS version FROM features WHERE kind <> 'poi') GROUP BY version"))
+@query("u04_migrations", with_views("features", "SELECT version, COUNT(*) AS docs FROM (SELECT DISTINCT map_id, CASE WHEN map_id % 5 + 1 <= 4 THEN 4 ELSE 5 END AS version FROM features) GROUP BY version"))
 def _(spark, sf):
     ok, bad = P.from_project_text(_project_docs(spark, sf), "doc", "json")
     return ok.select("version").unionByName(bad.select("version")).groupBy("version").agg(F.count("*").alias("docs"))
