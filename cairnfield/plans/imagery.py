@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cairnfield.functions import geo as G
@@ -144,7 +146,26 @@ def _(spark, sf):
     return C.frames(spark, sf).select("frame_id", r(x, 2).alias("west"), r(y, 2).alias("south"))
 
 
-@query("f12_state_plane_extents")
+def _albers_sql() -> str:
+    """Inverse of EPSG:3087 by the textbook's latitude series of steps, eight of them."""
+    # fixed values: EPSG:3087 parameters
+    a, flat, lat_1, lat_2, lat_0 = 6378137.0, 1 / 298.257222101, 24.0, 31.5, 24.0
+    e2 = flat * (2 - flat)
+    e = e2**0.5
+    sine = lambda d: math.sin(math.radians(d))
+    q = lambda d: (1 - e2) * (sine(d) / (1 - e2 * sine(d) ** 2) + math.atanh(e * sine(d)) / e)
+    m2 = lambda d: math.cos(math.radians(d)) ** 2 / (1 - e2 * sine(d) ** 2)
+    n = (m2(lat_1) - m2(lat_2)) / (q(lat_2) - q(lat_1))
+    top = m2(lat_1) + n * q(lat_1)
+    rho = a * math.sqrt(top - n * q(lat_0)) / n
+    step = f"pow(1 - {e2!r}e0 * s * s, 2) / (2 * cos(phi)) * (q / {1 - e2!r}e0 - s / (1 - {e2!r}e0 * s * s) + ln((1 - {e!r}e0 * s) / (1 + {e!r}e0 * s)) / {2 * e!r}e0)"
+    return f"""WITH RECURSIVE p AS (SELECT s_suppkey AS frame_id, s_suppkey * 5000 % 700000 - 300000e0 AS dx, {rho!r}e0 - (s_suppkey * 7000 % 800000 + 50000e0) AS dy FROM supplier),
+w AS (SELECT frame_id, dx, dy, ({top!r}e0 - (dx * dx + dy * dy) * {(n / a) ** 2!r}) / {n!r}e0 AS q FROM p),
+walk AS (SELECT *, asin(q / 2) AS phi, 0 AS k FROM w UNION ALL SELECT frame_id, dx, dy, q, phi + {step}, k + 1 FROM (SELECT *, sin(phi) AS s FROM walk) WHERE k < 8)
+SELECT frame_id, round((degrees(atan2(dx, dy) / {n!r}e0) - 84) * {HALF} / 180, 1) AS x, round(ln(tan(pi() / 4 + phi / 2)) * {HALF} / pi(), 1) AS y FROM walk WHERE k = 8"""
+
+
+@query("f12_state_plane_extents", _albers_sql())
 def _(spark, sf):
     k = c("s_suppkey")
     x, y = G.florida_albers_to_mercator(k * 5000 % 700000 + F.lit(100000.0), k * 7000 % 800000 + F.lit(50000.0))
@@ -368,12 +389,17 @@ def _(spark, sf):
     return rounded(q.select("frame_id", "source_id", "x", "y", "width", "height", "west", "north"), ["west", "north"], 2)
 
 
-@query("i03_achievable_resolution")
+# With sides under the cap, 4 x 4 requests of 2048 pixels always do, so only the longer side decides.
+@query("i03_achievable_resolution", with_views("mframes", "SELECT frame_id, round(CASE WHEN side <= 0.3e0 * 8192 THEN 0.3e0 ELSE side / 8192 * 1.02e0 END, 6) AS resolution_m FROM (SELECT frame_id, greatest(east - west, north - south) AS side FROM mframes)"))
 def _(spark, sf):
     f = I.mercator_frames(C.frames(spark, sf)).withColumns({"resolution_m": F.lit(0.3), "max_w": F.lit(2048), "max_h": F.lit(2048)})
     return rounded(I.achievable_resolution(f, 8192, 16), ["resolution_m"], 6)
 
 
-@query("i03_fractional_zoom")
+@query("i03_fractional_zoom", with_views("frames", """WITH RECURSIVE walk AS (SELECT frame_id, (east - west) / 360 AS wide, (ln((1 + sin(radians(north))) / (1 - sin(radians(north)))) - ln((1 + sin(radians(south))) / (1 - sin(radians(south))))) / (4 * pi()) AS high,
+  log2(cos(radians((north + south) / 2)) * 40075016.686e0 / (256 * 0.3e0)) AS z, 0 AS k FROM frames
+ UNION ALL SELECT frame_id, wide, high, CASE WHEN greatest(w, h) <= 12000 AND ceil(w / 4000) * ceil(h / 4000) <= 16 THEN z ELSE z + log2(12000e0 / greatest(w, h)) - 0.000001e0 END, k + 1
+  FROM (SELECT *, greatest(1e0, floor(wide * 256 * pow(2, z) + 0.5e0)) AS w, greatest(1e0, floor(high * 256 * pow(2, z) + 0.5e0)) AS h FROM walk) WHERE k < 12)
+SELECT frame_id, round(greatest(0e0, z), 6) AS zoom FROM walk WHERE k = 12"""))
 def _(spark, sf):
     return rounded(I.naip_zoom(C.frames(spark, sf)), ["zoom"], 6)

@@ -160,7 +160,23 @@ def _(spark, sf):
     return rounded(R.review(found).select("map_id", "candidate_id", "chip_id", "length_px", "confidence", "selected", "band"), ["length_px", "confidence"], 4)
 
 
-@query("g23_candidate_confidence")
+_LOOKS = ", ".join([f"(0, 0, {dx}, {dy})" for dx in (-1, 0, 1) for dy in (-1, 0, 1)] + [f"({side}, {k}, {-k * side}, 0)" for side in (-1, 1) for k in range(1, 9)])
+_UNIT = "least(1e0, greatest(0e0, {}))"
+_CONFIDENCE_SQL = f"""WITH s AS (SELECT * FROM (SELECT map_id, x, y, LEAD(y) OVER (PARTITION BY map_id, x ORDER BY y) - y AS span FROM pixels) WHERE span > 0),
+q AS (SELECT map_id, x, y AS seg, k, y + span * k / n AS py FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM (SELECT *, greatest(1, ceil(span / 2e0)) AS n FROM s))),
+d AS (SELECT p.map_id, chip_id, x, y, pow(r - ir, 2) + pow(g - ig, 2) + pow(b - ib, 2) AS d2 FROM pixels p JOIN chips k ON k.map_id = p.map_id),
+ink AS (SELECT * FROM d WHERE d2 <= 1600),
+e AS (SELECT q.map_id, q.x, seg, k, COALESCE(bool_or(side = 0 AND i.x IS NOT NULL), FALSE) AS found, COALESCE(bool_or(side = 0 AND d2 <= 576), FALSE) AS core,
+  COALESCE(MIN(step) FILTER (side = -1 AND i.x IS NULL), 9) + COALESCE(MIN(step) FILTER (side = 1 AND i.x IS NULL), 9) - 2 AS w
+ FROM q CROSS JOIN (VALUES {_LOOKS}) o(side, step, dx, dy) LEFT JOIN ink i ON i.map_id = q.map_id AND i.chip_id = q.x % 3 + 1 AND i.x = q.x + dx AND i.y = CAST(floor(py + dy + 0.5e0) AS INTEGER) GROUP BY q.map_id, q.x, seg, k),
+a AS (SELECT map_id, x, AVG(CAST(found AS INTEGER)) AS support, AVG(CAST(core AS INTEGER)) AS core, AVG(w + CAST(found AS INTEGER)) AS width, AVG(pow(w + CAST(found AS INTEGER), 2)) AS w2 FROM e GROUP BY map_id, x),
+l AS (SELECT map_id, x, SUM(span) AS length FROM s GROUP BY map_id, x),
+t AS (SELECT a.map_id, a.x, {_UNIT.format("0.2e0 * support + 0.53e0 * core + 0.17e0 * exp(-greatest(0e0, width - 2) / 2) + 0.04e0 / (1 + sqrt(greatest(0e0, w2 - width * width)) / greatest(width, 1e0)) + 0.03e0 + 0.03e0 * least(1e0, length / 80e0)")} AS line FROM a JOIN l ON l.map_id = a.map_id AND l.x = a.x),
+c AS (SELECT chip, {_UNIT.format("((hi - lo) / (1 - abs(hi + lo - 1)) - 0.25e0) / 0.45e0")} * {_UNIT.format("(0.78e0 - (hi + lo) / 2) / 0.4e0")} AS quality FROM (VALUES (1, 200 / 255e0, 30 / 255e0), (2, 200 / 255e0, 30 / 255e0), (3, 140 / 255e0, 40 / 255e0)) v(chip, hi, lo))
+SELECT map_id, CAST(x AS BIGINT) AS candidate_id, round({_UNIT.format("line * (0.4e0 + 0.6e0 * quality)")}, 5) AS confidence FROM t JOIN c ON c.chip = x % 3 + 1"""
+
+
+@query("g23_candidate_confidence", with_views("pixels chips", _CONFIDENCE_SQL))
 def _(spark, sf):
     v = _line_vertices(spark, sf).withColumnRenamed("line", "candidate_id")
     cands = v.select("map_id", "candidate_id").distinct().withColumns({"chip_id": c("candidate_id") % 3 + 1, "min_length_px": F.lit(20.0), "tolerance": F.lit(40.0)})
