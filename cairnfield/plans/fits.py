@@ -11,7 +11,7 @@ from cairnfield.operators import lines as L
 from cairnfield.plans import corpus as C
 from cairnfield.plans.corpus import with_views
 from cairnfield.plans.registry import query
-from cairnfield.plans.sqlparts import AFF, SIM, haversine
+from cairnfield.plans.sqlparts import AFF, SIM, haversine, sheet
 from cairnfield.session import cut
 
 
@@ -60,7 +60,7 @@ def _(spark, sf):
     return f.select("map_id", "anchor_count", *[r(F.col("affine")[i], 3).alias(f"a{i}") for i in range(6)])
 
 
-@query("g09_fit_tps")
+@query("g09_fit_tps", with_views("sheets", "SELECT map_id, m AS anchor_count, CAST(m AS INTEGER) AS controls, round(we[m + 2], 3) AS e_u, round(wn[m + 3], 3) AS n_v FROM sheets"))
 def _(spark, sf):
     f = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")
     return f.select("map_id", "anchor_count", F.size("controls").alias("controls"), r(F.element_at("w_e", -2), 3).alias("e_u"), r(F.element_at("w_n", -1), 3).alias("n_v"))
@@ -94,7 +94,9 @@ def _(spark, sf):
     return A.loo_residuals(C.anchors(spark, sf), fits, C.maps(spark, sf)).withColumn("loo_residual_m", r(F.col("loo_residual_m"), 2))
 
 
-@query("g14_loo_tps")
+@query("g14_loo_tps", with_views("loo left_sheets controls", f"""SELECT l.map_id, l.anchor_id, round(COALESCE(b.d, l.loo_residual_m), 2) AS loo_residual_m FROM loo l JOIN controls k ON k.map_id = l.map_id AND k.anchor_id = l.anchor_id
+LEFT JOIN (SELECT map_id, left_out, {haversine('lat', 'lon', f"lat0 + {sheet('wn', 'u', 'v')} / ky", f"lon0 + {sheet('we', 'u', 'v')} / kx")} AS d
+  FROM (SELECT s.*, o.lat, o.lon, o.lat0, o.lon0, o.kx, o.ky, o.u, o.v FROM left_sheets s JOIN controls o ON o.map_id = s.map_id AND o.anchor_id = s.left_out)) b ON b.map_id = l.map_id AND b.left_out = l.anchor_id"""))
 def _(spark, sf):
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")
     return A.loo_residuals(C.anchors(spark, sf), fits, C.maps(spark, sf)).withColumn("loo_residual_m", r(F.col("loo_residual_m"), 2))
@@ -149,7 +151,8 @@ def _(spark, sf):
     return located(spark, sf).select("map_id", "feature_id", "idx", r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"))
 
 
-@query("j01_apply_fit_tps")
+@query("j01_apply_fit_tps", with_views("sheets fits vertices", f"""SELECT map_id, feature_id, idx, round(lat0 + {sheet('wn', 'u', 'v')} / ky, 6) AS lat, round(lon0 + {sheet('we', 'u', 'v')} / kx, 6) AS lon
+FROM (SELECT s.*, feature_id, idx, lat0, lon0, kx, ky, (x - cx) / scale AS u, (y - cy) / scale AS v FROM vertices p JOIN fits f ON f.map_id = p.map_id JOIN sheets s ON s.map_id = p.map_id)"""))
 def _(spark, sf):
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")
     out = A.apply_fit(C.vertices(spark, sf), fits)
@@ -166,13 +169,14 @@ def _(spark, sf):
     return out.select("map_id", "anchor_id", r(F.col("x"), 2).alias("x"), r(F.col("y"), 2).alias("y"))
 
 
-# The sheet passes through its controls, so the way back from them is known.
-@query("j02_invert_fit_tps", with_views("fits usable", "SELECT u.map_id, anchor_id, round(x, 2) AS x, round(y, 2) AS y FROM usable u JOIN fits f ON f.map_id = u.map_id WHERE f.method = 'tps'"))
+# A folded sheet has several places over one spot, so what is known is where the way there and back ends.
+@query("j02_invert_fit_tps", with_views("controls", "SELECT map_id, anchor_id, 0e0 AS off_m FROM controls"))
 def _(spark, sf):
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")
     pts = A.usable_anchors(C.anchors(spark, sf)).select("map_id", "anchor_id", "lat", "lon")
-    out = A.invert_fit(pts, fits)
-    return out.select("map_id", "anchor_id", r(F.col("x"), 2).alias("x"), r(F.col("y"), 2).alias("y"))
+    there = A.invert_fit(pts, fits).select("map_id", "anchor_id", "x", "y")
+    back = A.apply_fit(there, fits).withColumnsRenamed({"lat": "blat", "lon": "blon"}).join(pts, ["map_id", "anchor_id"])
+    return back.select("map_id", "anchor_id", r(haversine_m(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon")), 3).alias("off_m"))
 
 
 @query("f01_haversine", with_views("usable means", f"SELECT u.map_id, anchor_id, round({haversine('u.lat', 'u.lon', 'mlat', 'mlon')}, 3) AS d FROM usable u JOIN means m ON m.map_id = u.map_id"))
@@ -216,7 +220,7 @@ def _(spark, sf):
     return m.select("map_id", "row", "col", r(F.col("x"), 4).alias("x"), r(F.col("y"), 4).alias("y"), r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"))
 
 
-@query("u03_grouped_solvers", with_views("fits", "SELECT map_id, 0e0 AS worst_m FROM fits WHERE method = 'tps'"))
+@query("u03_grouped_solvers", with_views("controls", "SELECT DISTINCT map_id, 0e0 AS worst_m FROM controls"))
 def _(spark, sf):
     """Rubber-sheet fit, then every anchor of those maps projected forward and compared with itself."""
     fits = A.fit_anchors(C.anchors(spark, sf), C.maps(spark, sf)).where("method = 'tps'")

@@ -17,6 +17,12 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
+def sheet(w: str, u: str, v: str) -> str:
+    """A rubber sheet's value at (u, v), from a row of ``sheets``."""
+    r2 = f"(pow(us[i] - {u}, 2) + pow(vs[i] - {v}, 2))"
+    return f"({w}[m + 1] + {w}[m + 2] * {u} + {w}[m + 3] * {v} + list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN {r2} > 0 THEN {w}[i] * {r2} * ln({r2}) ELSE 0e0 END)))"
+
+
 def ratio(n: str, xx: str, xy: str, yy: str) -> str:
     major = f"((({xx}) + ({yy}) + sqrt(pow(({xx}) - ({yy}), 2) + 4 * pow({xy}, 2))) / 2)"
     return (
@@ -91,6 +97,30 @@ VIEWS["located"] = (
     """SELECT v.map_id, v.feature_id, v.idx, v.kind, lat0 + (aff[4] * u + aff[5] * v_ + aff[6]) / ky AS lat, lon0 + (aff[1] * u + aff[2] * v_ + aff[3]) / kx AS lon
 FROM (SELECT v.*, f.*, (v.x - cx) / scale AS u, (v.y - cy) / scale AS v_ FROM vertices v JOIN fits f ON f.map_id = v.map_id WHERE f.ok) v""",
 )
+# Rubber sheets from whole systems, by elimination with the largest pivot. Two controls in one place leave no sheet.
+VIEWS["controls"] = (
+    ["fits", "usable"],
+    """SELECT f.map_id, anchor_id, lat, lon, lat0, lon0, kx, ky, (x - cx) / scale AS u, (y - cy) / scale AS v, (lon - lon0) * kx AS e, (lat - lat0) * ky AS n
+FROM usable a JOIN fits f ON f.map_id = a.map_id WHERE f.method = 'tps' AND f.map_id NOT IN (SELECT map_id FROM usable GROUP BY map_id, x, y HAVING COUNT(*) > 1)""",
+)
+def _sheets(source: str, keys: str) -> str:
+    return f"""WITH RECURSIVE c AS (SELECT {keys}, COUNT(*) AS m, list(u ORDER BY anchor_id) AS us, list(v ORDER BY anchor_id) AS vs, list(e ORDER BY anchor_id) AS es, list(n ORDER BY anchor_id) AS ns FROM {source} GROUP BY {keys}),
+walk AS (SELECT {keys}, m + 3 AS size, us, vs, CAST(1 AS BIGINT) AS k, list_concat(
+   list_transform(range(1, m + 1), lambda i: list_concat(list_transform(range(1, m + 1), lambda j: CASE WHEN i = j THEN 0e0 ELSE (pow(us[i] - us[j], 2) + pow(vs[i] - vs[j], 2)) * ln(pow(us[i] - us[j], 2) + pow(vs[i] - vs[j], 2)) END), [1e0, us[i], vs[i], es[i], ns[i]])),
+   [list_concat(list_transform(us, lambda x: 1e0), [0e0, 0e0, 0e0, 0e0, 0e0]), list_concat(us, [0e0, 0e0, 0e0, 0e0, 0e0]), list_concat(vs, [0e0, 0e0, 0e0, 0e0, 0e0])]) AS a FROM c
+ UNION ALL SELECT {keys}, size, us, vs, k + 1, list_transform(range(1, size + 1), lambda i: CASE WHEN i = k THEN lead ELSE list_transform(range(1, size + 3), lambda j: (CASE WHEN i = p THEN a[k] ELSE a[i] END)[j] - (CASE WHEN i = p THEN a[k] ELSE a[i] END)[k] * lead[j]) END)
+ FROM (SELECT *, list_transform(a[p], lambda x: x / a[p][k]) AS lead FROM (SELECT *, list_position(heads, list_max(heads)) AS p FROM (SELECT *, list_transform(range(1, size + 1), lambda i: CASE WHEN i < k THEN -1e0 ELSE abs(a[i][k]) END) AS heads FROM walk WHERE k <= size))))
+SELECT {keys}, size - 3 AS m, us, vs, list_transform(a, lambda r: r[size + 1]) AS we, list_transform(a, lambda r: r[size + 2]) AS wn FROM walk WHERE k = size + 1"""
+
+
+VIEWS["sheets"] = (["controls"], _sheets("controls", "map_id"))
+# Every control left out in turn, where five or more are there.
+VIEWS["left_controls"] = (
+    ["controls"],
+    """SELECT c.*, o.anchor_id AS left_out FROM controls c JOIN controls o ON o.map_id = c.map_id AND o.anchor_id <> c.anchor_id
+WHERE c.map_id IN (SELECT map_id FROM controls GROUP BY map_id HAVING COUNT(*) >= 5)""",
+)
+VIEWS["left_sheets"] = (["left_controls"], _sheets("left_controls", "map_id, left_out"))
 VIEWS["geosegs"] = (
     ["located"],
     """SELECT * FROM (SELECT map_id, feature_id, kind, idx, lat AS lat1, lon AS lon1, LEAD(lat) OVER w AS lat2, LEAD(lon) OVER w AS lon2
