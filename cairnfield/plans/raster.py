@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnfield.constants import CLUSTER_DISTANCE
 from cairnfield.functions.color import color_bin
 from cairnfield.operators import pixels as P
 from cairnfield.operators import review as R
@@ -201,7 +202,19 @@ def _(spark, sf):
     return P.color_histogram(C.pixels(spark, sf))
 
 
-@query("g17_cluster_bins")
+_MOVED = ", ".join(f"'{k}': COALESCE(z.{k}, 0e0) + n * m{k}" for k in "rgb") + ", 'm': COALESCE(z.m, 0e0) + n"
+# One bin a step; the sums so far, colour by mass, are the state.
+VIEWS["clusters"] = (
+    ["pixels"],
+    f"""WITH RECURSIVE o AS (SELECT map_id, bin, CAST(n AS DOUBLE) AS n, (bin >> 8) % 16 * 16 + 8e0 AS mr, (bin >> 4) % 16 * 16 + 8e0 AS mg, bin % 16 * 16 + 8e0 AS mb, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY n DESC, bin) AS k FROM (SELECT map_id, {_BIN} AS bin, COUNT(*) AS n FROM pixels GROUP BY map_id, bin)),
+walk AS (SELECT DISTINCT map_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(r DOUBLE, g DOUBLE, b DOUBLE, m DOUBLE)[]) AS t, CAST(NULL AS BIGINT) AS bin, CAST(NULL AS BIGINT) AS own FROM o
+ UNION ALL SELECT map_id, k, CASE WHEN own > len(t) THEN list_append(t, {{'r': n * mr, 'g': n * mg, 'b': n * mb, 'm': n}}) ELSE list_transform(t, lambda z, i: CASE WHEN i = own THEN {{{_MOVED}}} ELSE z END) END, bin, own
+ FROM (SELECT *, CASE WHEN list_min(d2) <= {CLUSTER_DISTANCE**2} THEN list_position(d2, list_min(d2)) ELSE len(t) + 1 END AS own FROM (SELECT w.map_id, o.k, t, o.bin, n, mr, mg, mb, list_transform(t, lambda z: pow(z.r / z.m - mr, 2) + pow(z.g / z.m - mg, 2) + pow(z.b / z.m - mb, 2)) AS d2 FROM walk w JOIN o ON o.map_id = w.map_id AND o.k = w.k + 1)))
+SELECT map_id, CAST(bin AS INTEGER) AS bin, CAST(own - 1 AS INTEGER) AS cluster FROM walk WHERE k > 0""",
+)
+
+
+@query("g17_cluster_bins", with_views("clusters", "SELECT map_id, bin, cluster FROM clusters"))
 def _(spark, sf):
     return P.cluster_bins(P.color_histogram(C.pixels(spark, sf)))
 
@@ -375,17 +388,28 @@ def _(spark, sf):
     return out.where("idx = 0").select("map_id", "feature_id", r(c("length_px"), 4).alias("length_px"))
 
 
-@query("j15_continuation_links", with_views("ends", """WITH d AS (SELECT *, CASE WHEN l > 0 THEN dx / nullif(l, 0) ELSE 0e0 END AS ux, CASE WHEN l > 0 THEN dy / nullif(l, 0) ELSE 0e0 END AS uy FROM (SELECT *, sqrt(dx * dx + dy * dy) AS l FROM (
+VIEWS["links"] = (
+    ["ends"],
+    """WITH d AS (SELECT *, CASE WHEN l > 0 THEN dx / nullif(l, 0) ELSE 0e0 END AS ux, CASE WHEN l > 0 THEN dy / nullif(l, 0) ELSE 0e0 END AS uy FROM (SELECT *, sqrt(dx * dx + dy * dy) AS l FROM (
   SELECT e.map_id, e.feature_id, e.side, e.x, e.y, COALESCE(CASE e.side WHEN 0 THEN arg_min(v.x, v.idx) ELSE arg_max(v.x, v.idx) END - e.x, 0e0) AS dx, COALESCE(CASE e.side WHEN 0 THEN arg_min(v.y, v.idx) ELSE arg_max(v.y, v.idx) END - e.y, 0e0) AS dy
   FROM ends e LEFT JOIN trail_vertices v ON v.feature_id = e.feature_id AND (v.x <> e.x OR v.y <> e.y) GROUP BY e.map_id, e.feature_id, e.side, e.x, e.y)))
-SELECT a.map_id, a.feature_id AS a_id, a.side AS a_side, b.feature_id AS b_id, b.side AS b_side, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 4) AS distance, a.feature_id % 3 = b.feature_id % 3 AS same_chip FROM d a JOIN d b ON a.map_id = b.map_id AND a.feature_id < b.feature_id AND abs(a.x - b.x) <= 30 AND abs(a.y - b.y) <= 30
-WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 900 AND a.ux * b.ux + a.uy * b.uy < -0.7e0"""))
+SELECT a.map_id, a.feature_id AS a_id, a.side AS a_side, b.feature_id AS b_id, b.side AS b_side, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance, a.feature_id % 3 = b.feature_id % 3 AS same_chip FROM d a JOIN d b ON a.map_id = b.map_id AND a.feature_id < b.feature_id AND abs(a.x - b.x) <= 30 AND abs(a.y - b.y) <= 30
+WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 900 AND a.ux * b.ux + a.uy * b.uy < -0.7e0""",
+)
+
+
+@query("j15_continuation_links", with_views("links", "SELECT map_id, a_id, a_side, b_id, b_side, round(distance, 4) AS distance, same_chip FROM links"))
 def _(spark, sf):
     cands, v = _cands(spark, sf)
     return rounded(R.continuation_links(cands, v, 30.0), ["distance"], 4)
 
 
-@query("t10_match_links")
+# The walk itself, link by link: taken ports, and the chain that each line is in by now.
+@query("t10_match_links", with_views("links", """WITH RECURSIVE o AS (SELECT *, CAST(a_id AS VARCHAR) || ':' || a_side AS pa, CAST(b_id AS VARCHAR) || ':' || b_side AS pb, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY distance, a_id, a_side, b_id, b_side) AS k FROM links),
+walk AS (SELECT map_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, list(id) AS ids, list(id) AS chains, CAST([] AS BIGINT[]) AS kept FROM (SELECT map_id, a_id AS id FROM o UNION SELECT map_id, b_id FROM o) GROUP BY map_id
+ UNION ALL SELECT map_id, k, CASE WHEN ok THEN list_concat(used, [pa, pb]) ELSE used END, ids, CASE WHEN ok THEN list_transform(chains, lambda t: CASE WHEN t = cb THEN ca ELSE t END) ELSE chains END, CASE WHEN ok THEN list_append(kept, k) ELSE kept END
+ FROM (SELECT *, ca <> cb AND NOT list_contains(used, pa) AND NOT list_contains(used, pb) AS ok FROM (SELECT w.map_id, o.k, used, ids, chains, kept, pa, pb, chains[list_position(ids, a_id)] AS ca, chains[list_position(ids, b_id)] AS cb FROM walk w JOIN o ON o.map_id = w.map_id AND o.k = w.k + 1)))
+SELECT o.map_id, a_id, a_side, b_id, b_side, round(distance, 4) AS distance FROM o JOIN (SELECT map_id, unnest(kept) AS k FROM (SELECT map_id, arg_max(kept, k) AS kept FROM walk GROUP BY map_id)) w ON w.map_id = o.map_id AND w.k = o.k"""))
 def _(spark, sf):
     cands, v = _cands(spark, sf)
     return rounded(R.match_links(R.continuation_links(cands, v, 30.0)), ["distance"], 4)
@@ -417,7 +441,27 @@ def _(spark, sf):
     return R.accept(rows, chips).select("map_id", "feature_id", "name", "color", "notes")
 
 
-@query("g22_line_ink")
+def _median(v: str) -> str:
+    """Value at index n div 2 of the sorted values."""
+    return f"list_sort(list({v}))[COUNT(*) // 2 + 1]"
+
+
+def _apart(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"pow({a}{k} - {b}{k}, 2)" for k in "rgb") + ")"
+
+
+# Lines run straight down, so a station's flanks lie in its own row.
+_LINE_INK_SQL = f"""WITH seen AS (SELECT s.map_id, s.x AS line, s.y, o, p.r, p.g, p.b FROM (SELECT * FROM pixels WHERE y % 4 = 0) s, (SELECT unnest(range(-6, 7)) AS o) JOIN pixels p ON p.map_id = s.map_id AND p.y = s.y AND p.x = greatest(0, least(149, s.x - o))),
+f AS (SELECT l.map_id, l.line, l.y, l.r AS lr, l.g AS lg, l.b AS lb, q.r AS qr, q.g AS qg, q.b AS qb FROM seen l JOIN seen q ON q.map_id = l.map_id AND q.line = l.line AND q.y = l.y WHERE l.o = -6 AND q.o = 6),
+back AS (SELECT map_id, line, {", ".join(f"{_median(f'greatest(l{k}, q{k})')} AS f{k}" for k in "rgb")} FROM f GROUP BY map_id, line),
+mid AS (SELECT map_id, line, COUNT(*) AS stations, {", ".join(f"{_median(k)} AS m{k}" for k in "rgb")} FROM seen WHERE o = 0 GROUP BY map_id, line),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, line, y ORDER BY contrast DESC, o) AS place FROM (SELECT s.*, least({_apart('s.', 'f.l')}, {_apart('s.', 'f.q')}) AS contrast FROM seen s JOIN f ON f.map_id = s.map_id AND f.line = s.line AND f.y = s.y) WHERE contrast > 40) WHERE place = 1),
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, line ORDER BY n DESC, first_y) AS place FROM (SELECT map_id, line, COUNT(*) AS n, MIN(y) AS first_y, {", ".join(f"floor(AVG({k}) + 0.5e0) AS v{k}" for k in "rgb")} FROM best GROUP BY map_id, line, r // 16, g // 16, b // 16)) WHERE place = 1)
+SELECT mid.map_id, CAST(mid.line AS BIGINT) AS feature_id, stations, {", ".join(f"CAST(CASE WHEN {_apart('m', 'f')} > 40 THEN m{k} WHEN n / CAST(stations AS DOUBLE) >= 0.5e0 AND {_apart('v', 'f')} > 40 THEN v{k} END AS INTEGER) AS ink_{k}" for k in "rgb")}
+FROM mid JOIN back ON back.map_id = mid.map_id AND back.line = mid.line LEFT JOIN top ON top.map_id = mid.map_id AND top.line = mid.line"""
+
+
+@query("g22_line_ink", with_views("pixels", _LINE_INK_SQL))
 def _(spark, sf):
     v = _line_vertices(spark, sf).withColumnRenamed("line", "feature_id")
     return R.line_ink(v, C.pixels(spark, sf), _maps(spark, sf), 6, 40.0)
