@@ -24,7 +24,11 @@ def _expected(step):
     support, w = mean(found), mean(width)
     spread = math.sqrt(max(0.0, mean([v * v for v in width]) - w * w))
     line = 0.73 * support + 0.17 * math.exp(-max(0.0, w - 2) / 2) + 0.04 / (1 + spread / max(w, 1.0)) + 0.06
-    return min(1.0, line)
+    high, low = 200 / 255, 30 / 255
+    light, saturation = (high + low) / 2, (high - low) / (1 - abs(high + low - 1))
+    unit = lambda t: min(1.0, max(0.0, t))
+    quality = unit((saturation - 0.25) / 0.45) * unit((0.78 - light) / 0.4)
+    return unit(unit(line) * (0.4 + 0.6 * quality))
 
 
 @pytest.mark.parametrize("most,step", [(None, 2.0), (100, 12.0)])
