@@ -11,6 +11,7 @@ from cairnfield.plans import corpus as C
 from cairnfield.plans.corpus import VIEWS, with_views
 from cairnfield.plans.fits import located, r
 from cairnfield.plans.registry import query
+from cairnfield.plans.sqlparts import COLOR_NAME
 from cairnfield.sources import catalog as S
 from cairnfield.sources import documents as D
 from cairnfield.sources import gpx as G
@@ -97,8 +98,7 @@ _HSL = """SELECT *, CASE WHEN d > 1e-6 THEN ((CASE WHEN hi = r / 255e0 THEN ((g
  FROM (SELECT *, hi - lo AS d, (hi + lo) / 2 AS l FROM (SELECT *, greatest(r, g, b) / 255e0 AS hi, least(r, g, b) / 255e0 AS lo FROM (SELECT o_orderkey, CAST(o_orderkey * 7 % 256 AS INTEGER) AS r, CAST(o_orderkey * 13 % 256 AS INTEGER) AS g, CAST(o_orderkey * 29 % 256 AS INTEGER) AS b FROM orders)))"""
 
 
-@query("f08_colors", f"""SELECT o_orderkey, round(h, 4) AS h, round(s, 6) AS s, round(l, 6) AS l, CASE WHEN l < 0.16e0 THEN 'Black' WHEN s < 0.16e0 THEN CASE WHEN l > 0.82e0 THEN 'White' ELSE 'Gray' END WHEN (h < 45 OR h >= 340) AND l < 0.42e0 AND s < 0.65e0 AND h >= 10 THEN 'Brown'
- WHEN h < 12 OR h >= 345 THEN 'Red' WHEN h < 42 THEN CASE WHEN l < 0.35e0 THEN 'Brown' ELSE 'Orange' END WHEN h < 68 THEN 'Yellow' WHEN h < 160 THEN 'Green' WHEN h < 195 THEN 'Teal' WHEN h < 250 THEN 'Blue' WHEN h < 290 THEN 'Purple' ELSE 'Pink' END AS name,
+@query("f08_colors", f"""SELECT o_orderkey, round(h, 4) AS h, round(s, 6) AS s, round(l, 6) AS l, {COLOR_NAME} AS name,
  printf('#%02x%02x%02x', r, g, b) AS hex, round((0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b) / 255, 6) AS lum, round(sqrt(pow(r - 200, 2) + pow(g - 30, 2) + pow(b - 30, 2)), 5) AS distance,
  CASE WHEN (0.2126e0 * r + 0.7152e0 * g + 0.0722e0 * b) / 255 < 0.82e0 THEN printf('#%02x%02x%02x', r, g, b) ELSE '#D9480F' END AS ink FROM ({_HSL})""")
 def _(spark, sf):

@@ -14,6 +14,7 @@ from cairnfield.plans.corpus import VIEWS, with_views
 from cairnfield.plans.fits import r
 from cairnfield.plans.imagery import rounded
 from cairnfield.plans.registry import query
+from cairnfield.plans.sqlparts import COLOR_NAME
 from cairnfield.session import cut
 
 c = F.col
@@ -241,7 +242,18 @@ def _(spark, sf):
     return rounded(P.cluster_stats(px, own), ["share", "thinness"], 8)
 
 
-@query("g19_scan_colors")
+_SCAN_SQL = f"""WITH RECURSIVE own AS (SELECT p.map_id, x, y, r, g, b, cluster FROM pixels p JOIN clusters k ON k.map_id = p.map_id AND k.bin = ({_BIN})),
+e AS (SELECT *, COALESCE(LAG(cluster) OVER w <> cluster, FALSE) OR COALESCE(LEAD(cluster) OVER w <> cluster, FALSE) OR COALESCE(LAG(cluster) OVER v <> cluster, FALSE) OR COALESCE(LEAD(cluster) OVER v <> cluster, FALSE) AS edge FROM own WINDOW w AS (PARTITION BY map_id, y ORDER BY x), v AS (PARTITION BY map_id, x ORDER BY y)),
+tile AS (SELECT map_id, cluster, COUNT(*) AS n, COUNT(*) FILTER (edge) AS edges, SUM(r) AS r, SUM(g) AS g, SUM(b) AS b FROM e GROUP BY map_id, cluster, x // 32, y // 32),
+stat AS (SELECT map_id, cluster, SUM(n) / SUM(SUM(n)) OVER (PARTITION BY map_id) AS share, SUM(edges) / SUM(n) AS thin, COALESCE(MAX(CASE WHEN n >= 8 THEN edges / CAST(n AS DOUBLE) END), 0e0) AS thinnest, floor(SUM(r) / SUM(n) + 0.5e0) AS r, floor(SUM(g) / SUM(n) + 0.5e0) AS g, floor(SUM(b) / SUM(n) + 0.5e0) AS b FROM tile GROUP BY map_id, cluster),
+hue AS (SELECT *, CASE WHEN d > 1e-6 THEN ((CASE WHEN hi = r / 255e0 THEN ((g - b) / 255e0 / d) % 6 WHEN hi = g / 255e0 THEN (b - r) / 255e0 / d + 2 ELSE (r - g) / 255e0 / d + 4 END) * 60 + 360) % 360 ELSE 0e0 END AS h, CASE WHEN d > 1e-6 THEN d / (1 - abs(2 * l - 1)) ELSE 0e0 END AS s
+ FROM (SELECT *, hi - lo AS d, (hi + lo) / 2 AS l FROM (SELECT *, CASE WHEN thin >= 0.3e0 THEN thin ELSE thinnest END AS t, greatest(r, g, b) / 255e0 AS hi, least(r, g, b) / 255e0 AS lo FROM stat))),
+good AS (SELECT *, share * t * (s + 0.35e0) AS score, {COLOR_NAME} AS name, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY share * t * (s + 0.35e0) DESC, cluster) AS k FROM hue WHERE share BETWEEN 0.0003e0 AND 0.25e0 AND t >= 0.3e0 AND NOT (l > 0.86e0 AND s < 0.3e0)),
+walk AS (SELECT DISTINCT map_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM good UNION ALL SELECT w.map_id, q.k, CASE WHEN len(kept) >= 10 OR EXISTS (SELECT 1 FROM good o WHERE o.map_id = q.map_id AND list_contains(kept, o.k) AND pow(o.r - q.r, 2) + pow(o.g - q.g, 2) + pow(o.b - q.b, 2) < 2304) THEN kept ELSE list_append(kept, q.k) END FROM walk w JOIN good q ON q.map_id = w.map_id AND q.k = w.k + 1)
+SELECT q.map_id, CAST(list_position(kept, q.k) - 1 AS INTEGER) AS rank, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, name, s > 0.3e0 AND t > 0.45e0 AND l < 0.8e0 AS likely, round(score, 8) AS score FROM good q JOIN (SELECT map_id, arg_max(kept, k) AS kept FROM walk GROUP BY map_id) w ON w.map_id = q.map_id AND list_contains(kept, q.k)"""
+
+
+@query("g19_scan_colors", with_views("clusters pixels", _SCAN_SQL))
 def _(spark, sf):
     return rounded(P.scan_colors(C.pixels(spark, sf)).select("map_id", "rank", "r", "g", "b", "name", "likely", "score"), ["score"], 8)
 

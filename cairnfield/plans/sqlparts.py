@@ -17,6 +17,11 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     )
 
 
+#: Name of a colour of hue h, saturation s and lightness l; fixed values.
+COLOR_NAME = """CASE WHEN l < 0.16e0 THEN 'Black' WHEN s < 0.16e0 THEN CASE WHEN l > 0.82e0 THEN 'White' ELSE 'Gray' END WHEN (h < 45 OR h >= 340) AND l < 0.42e0 AND s < 0.65e0 AND h >= 10 THEN 'Brown'
+ WHEN h < 12 OR h >= 345 THEN 'Red' WHEN h < 42 THEN CASE WHEN l < 0.35e0 THEN 'Brown' ELSE 'Orange' END WHEN h < 68 THEN 'Yellow' WHEN h < 160 THEN 'Green' WHEN h < 195 THEN 'Teal' WHEN h < 250 THEN 'Blue' WHEN h < 290 THEN 'Purple' ELSE 'Pink' END"""
+
+
 def sheet(w: str, u: str, v: str) -> str:
     """A rubber sheet's value at (u, v), from a row of ``sheets``."""
     r2 = f"(pow(us[i] - {u}, 2) + pow(vs[i] - {v}, 2))"
