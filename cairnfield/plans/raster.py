@@ -479,7 +479,20 @@ def _(spark, sf):
     return R.line_ink(v, C.pixels(spark, sf), _maps(spark, sf), 6, 40.0)
 
 
-@query("t15_refine_lines")
+_TINT = "sqrt(pow(r - 30, 2) + pow(g - 60, 2) + pow(b - 200, 2))"
+_REFINE_SQL = f"""WITH l AS (SELECT map_id, x AS line, MAX(y) AS len FROM pixels GROUP BY map_id, x),
+d AS (SELECT map_id, line, d, d = 0 OR d = len AS pinned FROM (SELECT map_id, line, len, unnest(list_distinct(list_concat(range(0, len, 60), [CAST(len AS BIGINT)]))) AS d FROM l)),
+st AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, line ORDER BY d) - 1 AS idx FROM d),
+met AS (SELECT st.map_id, line, idx, x, y, {_TINT} + sqrt(pow(x - line, 2) + pow(y - d, 2)) * (40e0 / 6) AS cost FROM st JOIN pixels p ON p.map_id = st.map_id AND abs(x - line) <= 6 AND abs(y - d) <= 6 WHERE NOT pinned),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, line, idx ORDER BY cost, y, x) AS place FROM met WHERE cost <= 40) WHERE place = 1),
+moved AS (SELECT st.map_id, st.line, st.idx, d, pinned, CAST(COALESCE(b.x, st.line) AS DOUBLE) AS x, CAST(COALESCE(b.y, d) AS DOUBLE) AS y FROM st LEFT JOIN best b ON b.map_id = st.map_id AND b.line = st.line AND b.idx = st.idx),
+run AS (SELECT *, greatest(1, ceil(sqrt(pow(x - ax, 2) + pow(y - ay, 2)) / 10)) AS n FROM (SELECT *, LAG(x) OVER w AS ax, LAG(y) OVER w AS ay FROM moved WINDOW w AS (PARTITION BY map_id, line ORDER BY idx)) WHERE ax IS NOT NULL),
+walk AS (SELECT map_id, line, idx, ax + (x - ax) * (k / n) AS sx, ay + (y - ay) * (k / n) AS sy FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM run)),
+share AS (SELECT w.map_id, line, idx, AVG(CASE WHEN {_TINT} <= 40 THEN 1e0 ELSE 0e0 END) AS confidence FROM walk w JOIN pixels p ON p.map_id = w.map_id AND p.x = CAST(floor(sx + 0.5e0) AS INTEGER) AND p.y = CAST(floor(sy + 0.5e0) AS INTEGER) GROUP BY w.map_id, line, idx)
+SELECT m.map_id, CAST(m.line AS BIGINT) AS feature_id, m.idx, CAST(d AS DOUBLE) AS d, x, y, pinned, round(confidence, 4) AS confidence, COALESCE(confidence >= 0.6e0, FALSE) AS refined FROM moved m LEFT JOIN share s ON s.map_id = m.map_id AND s.line = m.line AND s.idx = m.idx"""
+
+
+@query("t15_refine_lines", with_views("pixels", _REFINE_SQL))
 def _(spark, sf):
     v = _line_vertices(spark, sf).withColumnRenamed("line", "feature_id")
     inks = v.select("map_id", "feature_id").distinct().withColumns({"ink_r": F.lit(30), "ink_g": F.lit(60), "ink_b": F.lit(200)})
