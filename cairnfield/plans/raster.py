@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnfield.constants import CLUSTER_DISTANCE
+from cairnfield.constants import CHIP_MERGE_DISTANCE, CLUSTER_DISTANCE
 from cairnfield.functions.color import color_bin
 from cairnfield.operators import pixels as P
 from cairnfield.operators import review as R
@@ -250,10 +250,13 @@ hue AS (SELECT *, CASE WHEN d > 1e-6 THEN ((CASE WHEN hi = r / 255e0 THEN ((g -
  FROM (SELECT *, hi - lo AS d, (hi + lo) / 2 AS l FROM (SELECT *, CASE WHEN thin >= 0.3e0 THEN thin ELSE thinnest END AS t, greatest(r, g, b) / 255e0 AS hi, least(r, g, b) / 255e0 AS lo FROM stat))),
 good AS (SELECT *, share * t * (s + 0.35e0) AS score, {COLOR_NAME} AS name, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY share * t * (s + 0.35e0) DESC, cluster) AS k FROM hue WHERE share BETWEEN 0.0003e0 AND 0.25e0 AND t >= 0.3e0 AND NOT (l > 0.86e0 AND s < 0.3e0)),
 walk AS (SELECT DISTINCT map_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM good UNION ALL SELECT w.map_id, q.k, CASE WHEN len(kept) >= 10 OR EXISTS (SELECT 1 FROM good o WHERE o.map_id = q.map_id AND list_contains(kept, o.k) AND pow(o.r - q.r, 2) + pow(o.g - q.g, 2) + pow(o.b - q.b, 2) < 2304) THEN kept ELSE list_append(kept, q.k) END FROM walk w JOIN good q ON q.map_id = w.map_id AND q.k = w.k + 1)
-SELECT q.map_id, CAST(list_position(kept, q.k) - 1 AS INTEGER) AS rank, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, name, s > 0.3e0 AND t > 0.45e0 AND l < 0.8e0 AS likely, round(score, 8) AS score FROM good q JOIN (SELECT map_id, arg_max(kept, k) AS kept FROM walk GROUP BY map_id) w ON w.map_id = q.map_id AND list_contains(kept, q.k)"""
+SELECT q.map_id, CAST(list_position(kept, q.k) - 1 AS INTEGER) AS rank, r, g, b, name, s > 0.3e0 AND t > 0.45e0 AND l < 0.8e0 AS likely, score FROM good q JOIN (SELECT map_id, arg_max(kept, k) AS kept FROM walk GROUP BY map_id) w ON w.map_id = q.map_id AND list_contains(kept, q.k)"""
 
 
-@query("g19_scan_colors", with_views("clusters pixels", _SCAN_SQL))
+VIEWS["scan"] = (["clusters", "pixels"], _SCAN_SQL)
+
+
+@query("g19_scan_colors", with_views("scan", "SELECT map_id, rank, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, name, likely, round(score, 8) AS score FROM scan"))
 def _(spark, sf):
     return rounded(P.scan_colors(C.pixels(spark, sf)).select("map_id", "rank", "r", "g", "b", "name", "likely", "score"), ["score"], 8)
 
@@ -313,7 +316,13 @@ def _(spark, sf):
     return P.pick_ink(_probe(spark, sf), C.pixels(spark, sf), ["pid"], 3.0)
 
 
-@query("j14_merge_chips")
+# The walk over scanned colours: each meets the first chip that is near, or becomes a chip.
+@query("j14_merge_chips", with_views("scan chips", f"""WITH RECURSIVE old AS (SELECT map_id, list({{'chip_id': CAST(chip_id AS VARCHAR), 'r': CAST(ir AS DOUBLE), 'g': CAST(ig AS DOUBLE), 'b': CAST(ib AS DOUBLE), 'name': chip, 'enabled': FALSE, 'named': named}} ORDER BY chip_id) AS t FROM chips GROUP BY map_id),
+walk AS (SELECT map_id, t, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS added FROM old
+ UNION ALL SELECT map_id, CASE WHEN spot > 0 THEN list_transform(t, lambda z, i: CASE WHEN i = spot THEN {{'chip_id': z.chip_id, 'r': z.r, 'g': z.g, 'b': z.b, 'name': z.name, 'enabled': TRUE, 'named': z.named}} ELSE z END)
+   ELSE list_append(t, {{'chip_id': 'new-' || added, 'r': r, 'g': g, 'b': b, 'name': name, 'enabled': TRUE, 'named': FALSE}}) END, k + 1, added + CASE WHEN spot > 0 THEN 0 ELSE 1 END
+ FROM (SELECT w.*, q.r, q.g, q.b, q.name, COALESCE(list_position(list_transform(t, lambda z: sqrt(pow(z.r - q.r, 2) + pow(z.g - q.g, 2) + pow(z.b - q.b, 2)) < {CHIP_MERGE_DISTANCE}), TRUE), 0) AS spot FROM walk w JOIN scan q ON q.map_id = w.map_id AND q.rank = w.k))
+SELECT map_id, CAST(i - 1 AS BIGINT) AS seq, t[i].chip_id AS chip_id, t[i].r AS r, t[i].g AS g, t[i].b AS b, t[i].name AS name, t[i].enabled AS enabled, t[i].named AS named FROM (SELECT map_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT map_id, arg_max(t, k) AS t FROM walk GROUP BY map_id))"""))
 def _(spark, sf):
     base = _chips(spark, sf)
     cols = {"seq": c("chip_id").cast("bigint"), "r": c("r").cast("double"), "g": c("g").cast("double"), "b": c("b").cast("double"), "enabled": F.lit(False), "share": F.lit(0.1)}
