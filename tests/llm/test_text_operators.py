@@ -288,3 +288,15 @@ def test_codes_for_many_languages_keep_apart():
     gram = m @ m.T
     np.fill_diagonal(gram, -99)
     assert m.shape[0] == 30 and (m.shape[1] - gram.max()) / 2 >= 12
+
+
+def test_toxicity_keeps_words_of_one_stem_apart(spark):
+    from pyspark.sql import functions as F
+
+    rude, kind = [f"abcdx{k:03d}" for k in range(80)], [f"abcdy{k:03d}" for k in range(80)]
+    rows = [(k, f"{(rude if k % 2 else kind)[k // 2 % 80]} {(rude if k % 2 else kind)[k // 2 * 7 % 80]}") for k in range(960)]
+    docs = spark.createDataFrame([(k, t) for k, t in rows], DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
+    asked = spark.createDataFrame([(1000 + k, w) for k, w in enumerate(rude + kind)], DOCS)
+    got = {r.doc_id: r.log_ratio for r in toxicity.score(asked, toxicity.train(docs, labels), [F.col("doc_id")]).collect()}
+    assert all(got[1000 + k] > 0.5 for k in range(80)) and all(got[1080 + k] < -0.5 for k in range(80))
