@@ -300,3 +300,15 @@ def test_toxicity_keeps_words_of_one_stem_apart(spark):
     asked = spark.createDataFrame([(1000 + k, w) for k, w in enumerate(rude + kind)], DOCS)
     got = {r.doc_id: r.log_ratio for r in toxicity.score(asked, toxicity.train(docs, labels), [F.col("doc_id")]).collect()}
     assert all(got[1000 + k] > 0.5 for k in range(80)) and all(got[1080 + k] < -0.5 for k in range(80))
+
+
+def test_toxicity_keeps_rare_words_whatever_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"plain words here {'zork' if k % 2 and k < 6 else ''} number {k % 7}", k % 2) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    asked = spark.createDataFrame([(1000, "zork"), (1001, "quux")], DOCS)
+    got = {r.doc_id: r.log_ratio for r in toxicity.score(asked, toxicity.train(docs, labels), [F.col("doc_id")]).collect()}
+    assert got[1000] > got[1001] + 1
+    assert 0 < toxicity.discount(5, 3) < 1 and 0 < toxicity.discount(10**9, 1) < 1
