@@ -114,12 +114,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf, "documents"), tokenizer_path()))
 
 
+def message_ids(turns: DataFrame) -> DataFrame:
+    """Turns with ``message``: conversation times a stride plus turn. The stride is 1000 or the least power of ten beyond that holds all turns, so that ids of two conversations never meet; conversations are numbered in order where their own ids would leave no room."""
+    low, high, first, last = turns.agg(F.min("turn"), F.max("turn"), F.min("conv_id"), F.max("conv_id")).first()
+    stride = 1000
+    while low is not None and max(high, 0) - min(low, 0) >= stride:
+        stride *= 10
+    at = F.col("conv_id").cast("long")
+    if first is not None and max(abs(first), abs(last)) >= (1 << 62) // stride:
+        ranked = turns.select("conv_id").distinct().orderBy("conv_id").rdd.map(lambda r: r[0]).zipWithIndex()
+        turns, at = turns.join(cut(turns.sparkSession.createDataFrame(ranked, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, _rank long")), "conv_id"), F.col("_rank")
+    return turns.withColumn("message", at * stride + F.col("turn")).drop("_rank")
+
+
 def mail(spark: SparkSession, sf: str) -> DataFrame:
     """The conversations as a mailbox: every turn quotes the turn before it, and that one's first line in a deeper level."""
     turns = table(spark, sf, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    key = F.col("conv_id") * 1000 + F.col("turn")
+    turns = message_ids(cut(turns))
     marked = lambda text, mark: F.regexp_replace(text, "(?m)^", mark)
-    own = turns.select(key.alias("message"), "conv_id", "turn", "text")
+    own = turns.select("message", "conv_id", "turn", "text")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("t1"))
     deeper = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.split("text", "\n")[0].alias("t2"))
     both = own.join(before, ["conv_id", "turn"], "left").join(deeper, ["conv_id", "turn"], "left")

@@ -312,3 +312,14 @@ def test_toxicity_keeps_rare_words_whatever_the_corpus(spark):
     got = {r.doc_id: r.log_ratio for r in toxicity.score(asked, toxicity.train(docs, labels), [F.col("doc_id")]).collect()}
     assert got[1000] > got[1001] + 1
     assert 0 < toxicity.discount(5, 3) < 1 and 0 < toxicity.discount(10**9, 1) < 1
+
+
+def test_long_conversations_keep_their_messages(spark, tmp_path):
+    from cairnfield.llm import queries
+
+    far = (1 << 63) - 5
+    for name, rows in (("long", [(1, t, f"first {t} of one") for t in range(1203)] + [(2, t, f"then {t} of two") for t in range(300)]), ("far", [(c, t, f"said {t} in {c}") for c in (-far, 3, far) for t in range(4)])):
+        spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / name / "conversations.parquet"))
+        got = queries.QUERIES["op9_quote_threads"](spark, str(tmp_path / name)).orderBy("message").collect()
+        assert [r.text for r in got] == [x[2] for x in rows]
+        assert [r.position for r in got] == [x[1] for x in rows] and len({r.thread for r in got}) == len({x[0] for x in rows})
