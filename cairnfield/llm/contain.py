@@ -2,14 +2,16 @@
 
 Documents fall into partitions by their number of words, each up to twice the size of the one
 before. A document's sketch hashes all its shingles once, deals the hashes to equal ranges, and
-keeps the least of each range. A partition's number of ranges grows with its size over the least
-item's, so that a shingle that an item shares with a document of any length stays likely to be its
-range's least. An item meets a document on any common sketch value; all such pairs are then
+keeps the least of each range. A partition's number of ranges grows with its size, so that of the
+shingles that any item shares with a document some stay their ranges' least, but for a stated chance.
+Items with too few shingles for that are looked up among all shingles of a document. An item meets a document on any common sketch value; all such pairs are then
 verified by exact containment of the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from cairnfield.session import cut
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Ranges of a sketch per least item's size in a document: a contained item is missed with a chance
-#: of about exp(-CONTAINMENT * LOOKUPS), three in a million.
-LOOKUPS = 16
+#: A contained item is missed with about this chance at most.
+MISS = 2.8e-6
+#: Items that share fewer shingles than this when they are just contained meet all of a document's shingles.
+FEW = 8
 #: Rows up to this number, counted beforehand, are sent to every task; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -47,11 +50,25 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def sketches(docs: DataFrame, least: int) -> DataFrame:
-    """Sketch values of (doc_id, w) rows, one row a value."""
+def shared_least(n: int, threshold: float) -> int:
+    """Shingles that a document shares at least with an item of ``n`` that it contains."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def crowding(shared: int) -> float:
+    """Shingles a range may hold on average, so that none of ``shared`` ones is its range's least with a chance of MISS only."""
+    low, high = 0.0, 1e9
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if (1 + math.expm1(-x) / x) ** shared <= MISS else (low, x)
+    return low
+
+
+def sketches(docs: DataFrame, crowd: float) -> DataFrame:
+    """Sketch values of (doc_id, w) rows, one row a value; a range holds ``crowd`` shingles on average at most."""
     size = F.size("w").cast("long")
     upper = F.pow(F.lit(2.0), F.floor(F.log2(size)) + 1)  # the partition's bound
-    bits = F.least(F.greatest(F.ceil(F.log2(LOOKUPS * upper / least)), F.lit(1)), F.lit(62)).cast("int")
+    bits = F.least(F.greatest(F.ceil(F.log2(upper / crowd)), F.lit(1)), F.lit(62)).cast("int")
     hashed = docs.where(size >= SHINGLE).select("doc_id", (64 - bits).alias("shift"), F.sort_array(_hashes("w")).alias("h"))
     part = lambda x: F.call_function("shiftright", x, F.col("shift"))
     # In order, the least hash of a range is the first one whose range differs from the one before.
@@ -69,15 +86,23 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     """
     known = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), word_list(F.col(item_text)).alias("w"))
     known = cut(known.where(F.size("w") >= SHINGLE).select("item_id", _strings("w").alias("s"), F.array_distinct(_hashes("w")).alias("g")))
-    least, total = known.agg(F.min(F.size("s")), F.sum(F.size("s"))).first()
+    sizes = {r[0]: r[1] for r in known.groupBy(F.size("s")).count().collect()}
+    total = sum(n * k for n, k in sizes.items())
+    short = [n for n in sizes if shared_least(n, threshold) < FEW]
+    long = [n for n in sizes if n not in short]
     words = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), word_list(F.col(text)).alias("w"))
-    keys = known.select("item_id", F.explode("g").alias("value")).distinct()
-    met = sketches(words, least or 1).join(_sent(keys, total or 0), "value").select("doc_id", "item_id").distinct()
-    met = cut(met)
+    few = F.size("s") <= max(short, default=0)
+    keys = lambda of: known.where(of).select("item_id", F.explode("g").alias("value")).distinct()
+    crowd = crowding(shared_least(min(long, default=1 << 20), threshold))
+    met = sketches(words, crowd).join(_sent(keys(~few), total), "value").select("doc_id", "item_id")
+    if short:
+        every = words.where(F.size("w") >= SHINGLE).select("doc_id", F.explode(_hashes("w")).alias("value"))
+        met = met.unionByName(every.join(_sent(keys(few), total), "value").select("doc_id", "item_id"))
+    met = cut(met.distinct())
     rows = met.count()
     pairs = _sent(met, rows)
     exact = words.join(pairs, "doc_id").select("doc_id", "item_id", _strings("w").alias("d"))
-    exact = exact.join(_sent(known.select("item_id", "s"), total or 0), "item_id")
+    exact = exact.join(_sent(known.select("item_id", "s"), total), "item_id")
     shared = exact.select("doc_id", "item_id", F.size("s").cast("long").alias("n_item"), F.size(F.array_intersect("s", "d")).cast("long").alias("n_shared"))
     found = shared.where(F.col("n_shared") >= threshold * F.col("n_item"))
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared"))

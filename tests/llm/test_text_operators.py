@@ -323,3 +323,16 @@ def test_long_conversations_keep_their_messages(spark, tmp_path):
         got = queries.QUERIES["op9_quote_threads"](spark, str(tmp_path / name)).orderBy("message").collect()
         assert [r.text for r in got] == [x[2] for x in rows]
         assert [r.position for r in got] == [x[1] for x in rows] and len({r.thread for r in got}) == len({x[0] for x in rows})
+
+
+def test_short_items_are_never_missed(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [(k, " ".join(word() for _ in range(5 + k % 3))) for k in range(400)]
+    docs = [(k, " ".join([*(word() for _ in range(300)), text, *(word() for _ in range(300))])) for k, text in items]
+    got = contain.find_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k, _ in items}
+    for n in (10, 11, 15, 40, 1000):
+        k = contain.shared_least(n, 0.8)
+        x = contain.crowding(k)
+        assert (1 - (1 - np.exp(-x)) / x) ** k <= 1.01 * contain.MISS
