@@ -357,31 +357,37 @@ def invert_fit(points: DataFrame, fits: DataFrame) -> DataFrame:
     return straight.unionByName(turned)
 
 
+#: Newton steps in a row that may come no nearer to the target.
+STALLED = 100
+
+
 def _newton_steps(u, v, te, tn, cu, cv, w_e, w_n):
-    """At most 20 Newton steps per point; NaN where they do not reach 1e-7 m."""
+    """Newton steps until 1e-7 m; NaN where the derivative vanishes or STALLED steps bring a point no nearer."""
     n = len(cu)
     out_u, out_v = np.full(len(u), np.nan), np.full(len(u), np.nan)
     live = np.arange(len(u))
     u, v = u.copy(), v.copy()
-    for _ in range(20):
+    best, stalled = np.full(len(u), np.inf), np.zeros(len(u), int)
+    while len(live):
         du, dv = u[live, None] - cu, v[live, None] - cv
         r2 = du * du + dv * dv
         log = np.log(np.where(r2 > 0, r2, 1.0))
         k, dk = r2 * log, np.where(r2 > 0, 2 * (log + 1), 0.0)
         value = lambda w: w[n] + w[n + 1] * u[live] + w[n + 2] * v[live] + k @ w[:n]  # noqa: E731,B023
         de, dn = value(w_e) - te[live], value(w_n) - tn[live]
-        done = np.hypot(de, dn) < 1e-7
+        off = np.hypot(de, dn)
+        done = off < 1e-7
+        stalled[live] = np.where(off < best[live], 0, stalled[live] + 1)
+        best[live] = np.fmin(best[live], off)
         out_u[live[done]], out_v[live[done]] = u[live[done]], v[live[done]]
         eu, ev = w_e[n + 1] + (dk * du) @ w_e[:n], w_e[n + 2] + (dk * dv) @ w_e[:n]
         nu, nv = w_n[n + 1] + (dk * du) @ w_n[:n], w_n[n + 2] + (dk * dv) @ w_n[:n]
         jac = eu * nv - ev * nu
-        go = ~done & np.isfinite(jac) & (np.abs(jac) >= 1e-12)
+        go = ~done & np.isfinite(jac) & (np.abs(jac) >= 1e-12) & (stalled[live] < STALLED)
         jac = np.where(go, jac, 1.0)
         u[live] -= np.where(go, (nv * de - ev * dn) / jac, 0.0)
         v[live] -= np.where(go, (eu * dn - nu * de) / jac, 0.0)
         live = live[go & np.isfinite(u[live]) & np.isfinite(v[live])]
-        if not len(live):
-            break
     return out_u, out_v
 
 
@@ -572,7 +578,7 @@ def fit_status(quality: DataFrame, flagged: DataFrame, anchor_counts: DataFrame)
 def overlay_mesh(fits: DataFrame, maps: DataFrame, cells: int) -> DataFrame:
     """Row-major grid nodes over each fitted map, shaped by its aspect, with lat/lon."""
     c = F.col
-    count = min(64, max(1, int(cells + 0.5)))
+    count = max(1, int(cells + 0.5))
     w, h = F.greatest(c("width"), F.lit(0)).cast("double"), F.greatest(c("height"), F.lit(0)).cast("double")
     aspect = w / F.greatest(h, F.lit(2.220446049250313e-16))
     near = lambda v: F.greatest(F.lit(1), F.floor(v + 0.5)).cast("int")

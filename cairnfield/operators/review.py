@@ -148,8 +148,8 @@ def accept(cands: DataFrame, chips: DataFrame) -> DataFrame:
     )
 
 
-def corridor_px(meters_per_pixel: float | None) -> float:
-    return 12.0 if not meters_per_pixel else max(6.0, min(40.0, 4.0 / meters_per_pixel))
+def corridor_px(meters_per_pixel: float | None, least: float = 0.0, most: float = float("inf")) -> float:
+    return 12.0 if not meters_per_pixel else max(least, min(most, 4.0 / meters_per_pixel))
 
 
 LINE = ["map_id", "feature_id"]
