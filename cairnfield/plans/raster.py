@@ -158,7 +158,7 @@ def _(spark, sf):
 
 @query("r11_find_trails")
 def _(spark, sf):
-    found = T.find_trails(C.pixels(spark, sf), _maps(spark, sf), _chips(spark, sf).drop("tolerance"), 40.0, 0.0, 20.0)["candidates"]
+    found = T.find_trails(C.pixels(spark, sf), _maps(spark, sf), _chips(spark, sf).drop("tolerance"), 40.0, 8.0, 20.0)["candidates"]
     return rounded(R.review(found).select("map_id", "candidate_id", "chip_id", "length_px", "confidence", "selected", "band"), ["length_px", "confidence"], 4)
 
 
