@@ -28,6 +28,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold 16 MB, or a thousand rows, at most; a session's own settings stay."""
+    small_batches(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(16 << 20))
+
+
 def crc_fold(id_col: str, parts: int) -> Column:
     """Remainder of the CRC-32 of the id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts

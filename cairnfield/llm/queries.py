@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import boosted, chosen_path, contain, langid, packing, quality_pu, quotes, rollup, toxicity, windows
+from cairnfield.llm import boosted, chosen_path, contain, langid, negatives, packing, quality_pu, quotes, rollup, toxicity, windows
 from cairnfield.llm.common import crc_fold, table
 from cairnfield.session import cut, shared_folder
 
@@ -177,3 +177,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     kept.apply(3, rollup.counted(moved, "words-1", "revise"))
     kept.apply(2, gone)  # a repeated delivery changes nothing
     return kept.totals()
+
+
+_NEGATIVES_SQL = r"""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.vec_id <> b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM r a, r b WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND other QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(ROW_NUMBER() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY ROW_NUMBER() OVER w <= 10"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), label=label).drop("positive_rank")
