@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import boosted, chosen_path, contain, langid, negatives, packing, quality_pu, quotes, rollup, toxicity, windows
+from cairnfield.llm import boosted, chosen_path, contain, html_text, langid, negatives, packing, quality_pu, quotes, rollup, toxicity, windows
 from cairnfield.llm.common import crc_fold, table
 from cairnfield.session import cut, shared_folder
 
@@ -192,3 +192,8 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_
 def _(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf, "embeddings"), label=label).drop("positive_rank")
+
+
+@query("op12_html_extraction")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
