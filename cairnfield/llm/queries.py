@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnfield.llm import boosted, chosen_path, contain, html_text, langid, negatives, packing, quality_pu, quotes, rollup, toxicity, windows
+from cairnfield.llm import boosted, chosen_path, collocations, contain, html_text, langid, negatives, packing, quality_pu, quotes, rollup, toxicity, windows
 from cairnfield.llm.common import crc_fold, table
 from cairnfield.session import cut, shared_folder
 
@@ -194,6 +194,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf, "embeddings"), label=label).drop("positive_rank")
 
 
+_PHRASES_SQL = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
+g AS (SELECT lang, k, w[i:i+k-1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+n AS (SELECT lang, COUNT(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, g, COUNT(*) AS f FROM g GROUP BY lang, k, g HAVING COUNT(*) >= 30),
+c AS (SELECT lang, k, g, f, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.g, c.f AS a, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.j] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.j+1:c.k]
+ QUALIFY ROW_NUMBER() OVER (PARTITION BY c.lang, c.g ORDER BY CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT), c.j) = 1),
+i AS (SELECT DISTINCT b.lang, b.g FROM (SELECT lang, f, k, m, unnest(range(1, k - m + 2)) AS i, g FROM f, (SELECT unnest(range(2, 4)) AS m) WHERE k > m) o JOIN f b ON b.lang = o.lang AND b.g = o.g[o.i:o.i+o.m-1] AND 100 * o.f >= 80 * b.f)
+SELECT s.lang, CAST(ROW_NUMBER() OVER t AS BIGINT) AS rank, array_to_string(s.g, ' ') AS phrase, a, l, r, n.n, score FROM s ANTI JOIN i ON i.lang = s.lang AND i.g = s.g JOIN n ON n.lang = s.lang
+WINDOW t AS (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) QUALIFY ROW_NUMBER() OVER t <= 2000"""
+
+
+@query("op11_collocations", _PHRASES_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(table(spark, sf, "documents"))
+
+
 @query("op12_html_extraction")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
