@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, slices, small_batches
+from cairnfield.llm.common import Texts, kept_apart, slices, small_batches
 from cairnfield.llm.documents import RATIOS, base_counts, ratios
 from cairnfield.llm.quality_pu import bounded, sigmoid, with_ratios
 
@@ -106,23 +106,24 @@ def judge(docs: DataFrame, model: Trees, keep: list[Column], text: str = "text",
     """The kept columns, the base counts, base_failed, score and kept.
 
     Base rule: fewer than ``least_words`` words, or more than half of them in three-word windows
-    that occur twice. Null and empty texts have no words, so they fail it.
+    that occur twice. Null and empty texts have no words, so they fail it. A kept column of the name of one
+    of these gets a leading underscore.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(*keep, F.col(text).alias("_body"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    base, named = kept_apart(docs, keep, text, (*counts, "base_failed", "score", "kept"))
     names = base.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_body"):
-                t = Texts(part.column("_body"))
+            for part in slices(batch, "body"):
+                t = Texts(part.column("body"))
                 c = base_counts(t)
                 failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
                 s = shared.value.score(ratios(t, c).astype(float))
                 cols = [part.column(x) for x in names] + [pa.array(c[x], pa.int64()) for x in counts] + [pa.array(failed), pa.array(s, pa.float64()), pa.array(~failed & (s >= cut))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *counts, "base_failed", "score", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{schema}, {', '.join(f'{x} long' for x in counts)}, base_failed boolean, score double, kept boolean")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema.fields[:-1])
+    return named(base.mapInArrow(run, f"{schema}{', '.join(f'{x} long' for x in counts)}, base_failed boolean, score double, kept boolean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def kept_apart(docs: DataFrame, keep: Sequence[Column], text: str, made: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Kept columns under working names, with the text as ``body`` behind them, and what gives a result with the ``made`` columns behind them their own names back.
+
+    A kept column of the name of a made one gets leading underscores.
+    """
+    base = docs.select(*keep, F.col(f"`{text}`").cast("string"))
+    taken, names = {x.lower() for x in made}, []
+    for c in base.columns[:-1]:
+        while c.lower() in taken:
+            c = f"_{c}"
+        taken.add(c.lower())
+        names.append(c)
+    return base.toDF(*(f"k{k}" for k in range(len(names))), "body"), lambda out: out.toDF(*names, *made)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on every other."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

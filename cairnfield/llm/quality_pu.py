@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, slices, small_batches
+from cairnfield.llm.common import Texts, kept_apart, slices, small_batches
 from cairnfield.llm.documents import RATIOS, base_counts, ratios
 
 #: Expected number of rows of each kind (positive, unlabelled, trusted negative) that the fit reads at most.
@@ -102,22 +102,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return w
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> float:
-    """Share of positives in unlabelled text.
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives in unlabelled text, from trusted positives and unlabelled rows alone.
 
-    With trusted negatives, the labelled share. Without, by the ratio of a positive-or-unlabelled
-    classifier's mean score on unlabelled rows to its mean on held-back positives.
+    A classifier tells half of the positives from the unlabelled rows. Above any score, the share of
+    unlabelled rows over the share of held-back positives is the class share plus what negatives add;
+    the least such ratio, each with the error that its counts allow, is the estimate.
     """
-    if n_pos and n_neg:
-        return float(np.clip(n_pos / (n_pos + n_neg), 0.01, 0.99))
     half = len(pos) // 2
     if not half or not len(unl):
         return 0.5
-    w = fit_logistic(np.concatenate([pos[:half], unl]), np.concatenate([np.ones(half), np.zeros(len(unl))]))
-    score = lambda x: sigmoid(np.column_stack([x, np.ones(len(x))]) @ w).mean()
-    r_pos, r_unl = score(pos[half:]), score(unl)
-    # Odds of "labelled" at a sure positive, against those of a row of the mixture.
-    return float(np.clip(r_unl / max(r_pos, 1e-9), 0.05, 0.95))
+    n = min(half, len(unl))
+    y = np.concatenate([np.ones(half), np.zeros(len(unl))])
+    weight = np.concatenate([np.full(half, n / half), np.full(len(unl), n / len(unl))])  # as if both were equally many
+    w = fit_logistic(np.concatenate([pos[:half], unl]), y, weight)
+    z_pos, z_unl = (np.sort(np.column_stack([x, np.ones(len(x))]) @ w)[::-1] for x in (pos[half:], unl))
+    p = np.arange(1, len(z_pos) + 1) / len(z_pos)
+    u = np.searchsorted(-z_unl, -z_pos, "right") / len(z_unl)
+    error = 1 / np.sqrt(len(z_pos)) + 1 / np.sqrt(len(z_unl))
+    best = int(np.argmin((u + error) / p))
+    return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
 class Model:
@@ -130,13 +134,15 @@ class Model:
         both = np.concatenate([pos, unl])
         self.mean, self.std = both.mean(0), both.std(0) + 1e-3
         p, u, n = self.scaled(pos), self.scaled(unl), self.scaled(neg) if len(neg) else neg
-        self.prior = class_prior(p, u, n, n_pos, n_neg)
+        self.prior = class_prior(p, u)
+        # What the labels say of the share serves the calibration alone, which rests on labelled rows.
+        share = float(np.clip(n_pos / max(n_pos + n_neg, 1), 0.01, 0.99))
         self.net = fit_nnpu(p, u, self.prior)
         z_pos = self.net(p)
         if len(neg):
             z = np.concatenate([z_pos, self.net(n)])
             y = np.concatenate([np.ones(len(p)), np.zeros(len(n))])
-            weight = np.concatenate([np.full(len(p), self.prior / len(p)), np.full(len(n), (1 - self.prior) / len(n))]) * len(z)
+            weight = np.concatenate([np.full(len(p), share / len(p)), np.full(len(n), (1 - share) / len(n))]) * len(z)
             self.line = fit_logistic(z[:, None], y, weight)
         else:
             self.line = np.array([1.0, 0.0])
@@ -172,18 +178,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", cut: float = 0.3) -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted (1 from ``cut`` on). Null and empty texts are scored by their zero ratios."""
+    """The kept columns, score (0 to 1) and predicted (1 from ``cut`` on). Null and empty texts are scored by their zero ratios. A kept column called score or predicted gets a leading underscore."""
     small_batches(docs.sparkSession)
-    base = docs.select(*keep, F.col(text).alias("_body"))
+    base, named = kept_apart(docs, keep, text, ("score", "predicted"))
     names = base.columns[:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_body"):
-                t = Texts(part.column("_body"))
+            for part in slices(batch, "body"):
+                t = Texts(part.column("body"))
                 s = shared.value.score(ratios(t, base_counts(t)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{schema}, score double, predicted int")
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in base.schema.fields[:-1])
+    return named(base.mapInArrow(run, f"{schema}score double, predicted int"))
