@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnfield.operators.ordered import number_rows
+from cairnfield.session import cut
+
 #: Bytes of text whose hashes are worked on at once; one longer text is worked on alone.
 CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -68,6 +71,24 @@ def kept_apart(docs: DataFrame, keep: Sequence[Column], text: str, made: Sequenc
     return base.toDF(*(f"k{k}" for k in range(len(names))), "body"), lambda out: out.toDF(*names, *made)
 
 
+NULL_ID = np.iinfo(np.int64).min
+
+
+def with_text_key(docs: DataFrame, out: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with a long ``out``: one number for each id and text, in the order of ids, a null id first.
+
+    Where no id has two texts this is the id itself. Otherwise ids and text hashes, without the texts,
+    are put in order and numbered, so that rows which share an id by mistake stay apart.
+    """
+    own, sign = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    pairs = docs.select(F.coalesce(own, F.lit(NULL_ID)).alias("_id"), sign.alias("_h"))
+    if pairs.groupBy("_id").agg((F.min("_h") != F.max("_h")).alias("two")).where("two").isEmpty():
+        return docs.withColumn(out, F.coalesce(own, F.lit(NULL_ID)))
+    a, b = fresh(docs, "_id", "_h")
+    numbers = cut(number_rows(pairs.distinct(), [], [F.col("_id"), F.col("_h")], out, 0)).toDF(a, b, out)
+    return docs.withColumn(a, F.coalesce(own, F.lit(NULL_ID))).withColumn(b, sign).join(numbers, [a, b]).drop(a, b)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that every bit depends on every other."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -146,10 +146,13 @@ l AS (SELECT message, unnest(l) AS raw, unnest(range(len(l))) AS k FROM (SELECT
 q AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^[ \t]*(?:>[ \t]*)+'), '[ \t]', '', 'g')) AS level, trim(regexp_replace(lower(regexp_replace(raw, '^[ \t]*(?:>[ \t]*)+', '')), '\s+', ' ', 'g')) AS body FROM l),
 p AS (SELECT *, SUM(step) OVER (PARTITION BY message ORDER BY k) AS passage FROM (SELECT *, CASE WHEN level <> coalesce(LAG(level) OVER (PARTITION BY message ORDER BY k), -1) THEN 1 ELSE 0 END AS step FROM q WHERE body <> '')),
 w AS (SELECT message, level, passage, string_agg(body, ' ' ORDER BY k) AS h, 1 AS kind FROM p GROUP BY message, level, passage UNION ALL SELECT message, level, passage, body, 0 FROM p WHERE length(body) >= 12),
-said AS (SELECT h, kind, MIN(message) AS origin FROM w WHERE level = 0 GROUP BY h, kind),
-link AS (SELECT message, origin AS parent FROM (SELECT w.message, origin, ROW_NUMBER() OVER (PARTITION BY w.message ORDER BY level, 1 - w.kind, passage, origin) AS r FROM w JOIN said ON said.h = w.h AND said.kind = w.kind WHERE level > 0 AND origin < w.message) WHERE r = 1),
+said AS (SELECT DISTINCT h, kind, message FROM w WHERE level = 0),
+hit AS (SELECT a.message, a.level, a.kind, a.h, a.passage, MAX(s.message) AS origin FROM (SELECT DISTINCT message, level, kind, h, passage FROM w WHERE level > 0) a JOIN said s ON s.h = a.h AND s.kind = a.kind AND s.message < a.message GROUP BY a.message, a.level, a.kind, a.h, a.passage),
+byo AS (SELECT message, level, kind, origin, COUNT(*) AS n FROM hit GROUP BY message, level, kind, origin),
+rk AS (SELECT *, RANK() OVER (PARTITION BY message ORDER BY level, 1 - kind, n DESC) AS r FROM byo),
+link AS (SELECT message, MAX(origin) AS parent, COUNT(*) > 1 AS ambiguous FROM rk WHERE r = 1 GROUP BY message),
 tree AS (SELECT m.message, m.message AS thread, CAST(0 AS BIGINT) AS depth FROM mail m ANTI JOIN link ON link.message = m.message UNION ALL SELECT link.message, tree.thread, tree.depth + 1 FROM tree JOIN link ON link.parent = tree.message)
-SELECT t.message, t.thread, link.parent, t.depth, ROW_NUMBER() OVER (PARTITION BY t.thread ORDER BY t.message) - 1 AS position, COUNT(*) OVER (PARTITION BY t.thread) AS n_thread,
+SELECT t.message, t.thread, link.parent, coalesce(link.ambiguous, false) AS ambiguous, t.depth, ROW_NUMBER() OVER (PARTITION BY t.thread ORDER BY t.message) - 1 AS position, COUNT(*) OVER (PARTITION BY t.thread) AS n_thread,
  coalesce((SELECT string_agg(raw, chr(10) ORDER BY k) FROM q WHERE q.message = t.message AND level = 0), '') AS text FROM tree t LEFT JOIN link ON link.message = t.message"""
 
 

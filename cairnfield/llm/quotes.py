@@ -49,20 +49,40 @@ def passages(messages: DataFrame, text: str = "text") -> DataFrame:
 def link_quotes(messages: DataFrame, text: str = "text") -> DataFrame:
     """Parents: (message, parent, matched) for messages with a quotation whose origin is known.
 
-    ``messages`` has a long ``message`` that orders them in time, without nulls or repeats. Of all
-    earlier messages with a quoted passage (else a quoted line) among their own words, the first
-    one said it. The parent comes from the least quoted level, then whole passages before lines,
-    then the earliest passage. Later messages are never parents, so links make no cycle.
+    ``messages`` has a long ``message`` that orders them in time, without nulls or repeats. A quoted
+    passage (else a quoted line) comes from the nearest earlier message with it among its own words.
+    The parent is the origin of the most passages of the least quoted level that has a known one, whole
+    passages before lines; of equal ones the nearest, and the row is then ``ambiguous``. Later
+    messages are never parents, so links make no cycle.
     """
     rows = cut(passages(messages, text))
-    own, quoted = rows.where("level = 0"), rows.where("level > 0")
-    # One row a hash, however many messages repeat it.
-    said = own.select("message", F.col("pass_hash").alias("hash"), F.lit(1).alias("kind")).unionByName(own.where(F.length("body") >= LEAST_LINE).select("message", F.col("line_hash").alias("hash"), F.lit(0).alias("kind")))
-    said = said.groupBy("hash", "kind").agg(F.min("message").alias("origin"))
-    asked = quoted.select("message", "level", "passage", F.col("pass_hash").alias("hash"), F.lit(1).alias("kind")).unionByName(quoted.where(F.length("body") >= LEAST_LINE).select("message", "level", "passage", F.col("line_hash").alias("hash"), F.lit(0).alias("kind")))
-    hits = asked.join(said, ["hash", "kind"]).where("origin < message")
-    best = F.min(F.struct("level", (1 - F.col("kind")).alias("partial"), "passage", "origin"))
-    return hits.groupBy("message").agg(best.alias("b"), F.count("*").alias("matched")).select("message", F.col("b.origin").alias("parent"), "matched")
+    whole = lambda df: df.select("message", "level", "passage", F.col("pass_hash").alias("hash"), F.lit(1).alias("kind")).distinct()
+    line = lambda df: df.where(F.length("body") >= LEAST_LINE).select("message", "level", "passage", F.col("line_hash").alias("hash"), F.lit(0).alias("kind")).distinct()
+    asked = cut(whole(rows.where("level > 0")).unionByName(line(rows.where("level > 0"))))
+    own = rows.where("level = 0")
+    said = whole(own).unionByName(line(own)).join(asked.select("hash", "kind").distinct(), ["hash", "kind"], "left_semi")
+    hits = nearest_earlier(asked, said)
+    # Messages quote few passages: sums by message and origin first, then one row a message.
+    by = hits.groupBy("message", "level", "kind", "origin").agg(F.count("*").alias("n"))
+    best = by.groupBy("message", "level", "kind").agg(F.max(F.struct("n", "origin")).alias("b"), F.min(F.struct((-F.col("n")).alias("n"), "origin")).alias("other"), F.sum("n").alias("sum"))
+    one = best.groupBy("message").agg(F.min(F.struct("level", (1 - F.col("kind")).alias("partial"), "b", "other")).alias("c"), F.sum("sum").alias("matched"))
+    # The nearest and the farthest of the origins with the most passages differ where there are several.
+    return one.select("message", F.col("c.b.origin").alias("parent"), "matched", (F.col("c.b.origin") != F.col("c.other.origin")).alias("ambiguous"))
+
+
+def nearest_earlier(asked: DataFrame, said: DataFrame, span: int = 4096) -> DataFrame:
+    """``asked`` rows with ``origin``, the greatest smaller message of ``said`` with their hash and kind; others are left out.
+
+    A passage may be said and quoted by a large part of all messages: windows hold one hash within a
+    span of messages, and between spans goes one row each.
+    """
+    part = F.floor(F.col("message") / span).alias("part")
+    both = asked.select("hash", "kind", "message", "level", "passage", part, F.lit(None).cast("long").alias("of")).unionByName(said.select("hash", "kind", "message", "level", "passage", part, F.col("message").alias("of")))
+    inside = Window.partitionBy("hash", "kind", "part").orderBy("message").rangeBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("hash", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy("hash", "kind", "part").agg(F.max("of").alias("last")).withColumn("before", F.max("last").over(ahead)).select("hash", "kind", "part", "before")
+    found = both.withColumn("here", F.max("of").over(inside)).where("of is null").join(spans, ["hash", "kind", "part"])
+    return found.withColumn("origin", F.coalesce("here", "before")).where("origin is not null").select("message", "level", "passage", "kind", "origin")
 
 
 def without_quotes(text: Column) -> Column:
@@ -71,7 +91,7 @@ def without_quotes(text: Column) -> Column:
 
 
 def conversations(messages: DataFrame, text: str = "text", id_col: str = "message") -> DataFrame:
-    """Chat rows in reply order: message, thread, parent, depth, position, n_thread and text without quotes.
+    """Chat rows in reply order: message, thread, parent, ambiguous, depth, position, n_thread and text without quotes.
 
     A message without a known parent opens its thread, whose id is its own. ``depth`` counts replies
     from there, ``position`` numbers a thread's messages in time order from 0. Rows with a null id
@@ -94,8 +114,8 @@ def conversations(messages: DataFrame, text: str = "text", id_col: str = "messag
     else:
         raise ValueError("a chain of replies is too long")
     roots = at.select("message", F.col("up").alias("root"), "depth")
-    out = known.join(links.select("message", "parent"), "message", "left").join(roots, "message", "left")
-    out = out.select("message", F.coalesce("root", "message").alias("thread"), "parent", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), without_quotes(F.col("text")).alias("text"))
+    out = known.join(links.select("message", "parent", "ambiguous"), "message", "left").join(roots, "message", "left")
+    out = out.select("message", F.coalesce("root", "message").alias("thread"), "parent", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), without_quotes(F.col("text")).alias("text"))
     return positions(out)
 
 
@@ -107,4 +127,4 @@ def positions(rows: DataFrame, span: int = 4096) -> DataFrame:
     ahead = Window.partitionBy("thread").orderBy("part")
     before = sizes.select("thread", "part", (F.sum("n").over(ahead) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("thread")).alias("n_thread"))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("thread", "part").orderBy("message")) - 1)
-    return ranked.join(before, ["thread", "part"]).select("message", "thread", "parent", "depth", (F.col("before") + F.col("rank")).alias("position"), "n_thread", "text")
+    return ranked.join(before, ["thread", "part"]).select("message", "thread", "parent", "ambiguous", "depth", (F.col("before") + F.col("rank")).alias("position"), "n_thread", "text")

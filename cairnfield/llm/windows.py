@@ -18,14 +18,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnfield.llm.common import Texts, fresh, grams, slices, small_batches
+from cairnfield.llm.common import Texts, fresh, grams, slices, small_batches, with_text_key
 
 WORDS = 20
 #: Windows that a task gathers before it sends their first places on.
 FLUSH_WINDOWS = 1 << 20
 #: Bytes of text whose windows make one hash range, and whose removals make one group of documents.
 RANGE_BYTES = 8 << 20
-NULL_ID = np.iinfo(np.int64).min
 #: Bytes kept of each hash beside its range.
 HASH_BYTES = 7
 PACKED = "part int, kind int, hashes binary, ids binary, counts binary, starts binary"
@@ -184,17 +183,16 @@ def _merge(width: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS) -> DataFrame:
-    """Maximal word intervals [lo, hi) to remove, as (id, lo array, hi array); documents without any are left out.
+def repeated_intervals(docs: DataFrame, text: str, key: str, width: int = WORDS) -> DataFrame:
+    """Maximal word intervals [lo, hi) to remove, as (id, lo array, hi array) by the long ``key``; texts without any are left out.
 
-    A window goes if its words also start earlier: in a smaller doc_id, or earlier in the same
-    document. A null doc_id counts as smaller than all. Rows with the same doc_id are one document:
-    a window at the same place of it is not earlier, and what goes at a place goes in all of them.
+    A window goes if its words also start earlier: under a smaller key, or earlier in the same text.
+    Rows with the same key are one text: a window at the same place of it is not earlier.
     """
     small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = int(min(max(1, total // RANGE_BYTES), 1 << 20))
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("body"))
+    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("body"))
     packed = slim.mapInArrow(_hash_windows(width, parts, parts), PACKED)
     return packed.groupBy("part").applyInPandas(_settle(parts), MARKS).groupBy("part").applyInPandas(_merge(width), "id long, lo array<long>, hi array<long>")
 
@@ -206,12 +204,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``spaced`` it is instead the text with the removed words cut out, null for a null text, so a
     text that loses nothing stays as it is. ``kept_sha256`` always hashes the words joined by one
     space. Null and empty texts have no words. Columns of the input with the new names are replaced.
+    Earlier is what stands in a smaller doc_id (a null one is smallest) or earlier in the same
+    document. Rows that share a doc_id but not the text are documents of their own, in the order of
+    their texts' hashes; rows that share both are one, and lose the same words.
     """
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in new])
     key, lo, hi, body = fresh(base, "_key", "_lo", "_hi", "_body")
-    spans = repeated_intervals(docs, text, doc_id, width).select(F.col("id").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi))
-    joined = base.withColumn(body, F.col(text)).withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(spans, key, "left")
+    keyed = with_text_key(base, key, text, doc_id)
+    spans = repeated_intervals(keyed, text, key, width).select(F.col("id").alias(key), F.col("lo").alias(lo), F.col("hi").alias(hi))
+    joined = keyed.withColumn(body, F.col(text)).join(spans, key, "left")
     kept = [f for f in base.schema.fields if f.name != text or not spaced]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_words long, n_removed long, kept_sha256 string, kept_text string"
 

@@ -23,14 +23,14 @@ def test_quote_levels_and_threads(spark):
         (None, "Hello there everybody"),
         (5, "a fresh start without quotes"),
         (9, "Hello there everybody\nthis is the plan"),
-        (10, "> Hello there everybody\n> this is the plan\nlate answer goes to the first"),
+        (10, "> Hello there everybody\n> this is the plan\nlate answer goes to the nearest"),
     ]
     got = {r.message: r for r in quotes.conversations(spark.createDataFrame([(*r, 0) for r in rows], f"{MAIL}, depth int")).collect()}
     assert sorted(got) == list(range(1, 11))
-    assert {k: r.parent for k, r in got.items()} == {1: None, 2: 1, 3: 2, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: None, 10: 1}
-    assert [got[k].thread for k in (1, 2, 3, 4, 10)] == [1] * 5
+    assert {k: r.parent for k, r in got.items()} == {1: None, 2: 1, 3: 2, 4: 1, 5: None, 6: None, 7: None, 8: None, 9: None, 10: 9}
+    assert [got[k].thread for k in (1, 2, 3, 4, 9, 10)] == [1, 1, 1, 1, 9, 9]
     assert [got[k].depth for k in (1, 2, 3, 4, 10)] == [0, 1, 2, 1, 1]
-    assert [got[k].position for k in (1, 2, 3, 4, 10)] == [0, 1, 2, 3, 4] and got[1].n_thread == 5
+    assert [got[k].position for k in (1, 2, 3, 4, 10)] == [0, 1, 2, 3, 1] and got[1].n_thread == 4
     assert got[3].text == "\nSo do I myself" and got[7].text is None and got[8].text == ""
     assert quotes.conversations(spark.createDataFrame([], MAIL)).count() == 0
 
@@ -39,7 +39,7 @@ def test_long_reply_chain_and_spans(spark):
     rows = [(0, "message number 0 in the chain")] + [(k, f"> message number {k - 1} in the chain\nmessage number {k} in the chain") for k in range(1, 70)]
     got = quotes.conversations(spark.createDataFrame(rows, MAIL)).collect()
     assert all(r.thread == 0 and r.depth == r.message == r.position for r in got)
-    spans = quotes.positions(spark.createDataFrame([(k, k % 2, None, 0, "") for k in range(40)], "message long, thread long, parent long, depth long, text string"), span=3)
+    spans = quotes.positions(spark.createDataFrame([(k, k % 2, None, False, 0, "") for k in range(40)], "message long, thread long, parent long, ambiguous boolean, depth long, text string"), span=3)
     assert all(r.position == r.message // 2 and r.n_thread == 20 for r in spans.collect())
 
 
@@ -128,3 +128,43 @@ def test_pipeline_on_no_rows(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_an_answer_goes_to_the_message_it_quotes_most(spark):
+    rows = [
+        (10, "the same first words here\nonly the first says this one"), (20, "the same first words here"), (21, "> the same first words here\nso the nearest"),
+        (30, "> only the first says this one\nan own line between\n> the same first words here\nanswer"), (40, "one quoted line of somebody"), (41, "another quoted line of somebody"),
+        (42, "> one quoted line of somebody\nand\n> another quoted line of somebody\nwhose"),
+    ]
+    rows += [(100 + k, "a very common line of all") for k in range(50)] + [(200, "> a very common line of all\nyes")]
+    got = {r.message: (r.parent, r.ambiguous) for r in quotes.conversations(spark.createDataFrame(rows, MAIL)).collect()}
+    assert got[21] == (20, False) and got[30] == (20, False) and got[42] == (41, True) and got[200] == (149, False) and got[10] == (None, False)
+
+
+def test_nearest_earlier_over_spans(spark):
+    rng = random.Random(6)
+    asked = [(rng.randrange(400), 1, k, rng.randrange(3), rng.randrange(2)) for k in range(200)]
+    said = [(rng.randrange(400), 0, 0, rng.randrange(3), rng.randrange(2)) for k in range(30)]
+    schema = "message long, level int, passage int, hash long, kind int"
+    got = quotes.nearest_earlier(spark.createDataFrame(asked, schema), spark.createDataFrame(said, schema), span=7)
+    want = [(m, 1, p, k, max(s[0] for s in said if s[3:] == (h, k) and s[0] < m)) for m, _, p, h, k in asked if any(s[3:] == (h, k) and s[0] < m for s in said)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    a, b = " ".join(f"a{k}" for k in range(25)), " ".join(f"b{k}" for k in range(25))
+    docs = spark.createDataFrame([(1, a), (7, a), (7, b), (7, b), (None, a), (None, b)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text[0], r.n_removed) for r in remove_repeats(docs).collect())
+    assert got == [(0, "a", 0), (0, "b", 0), (1, "a", 25), (7, "a", 25), (7, "b", 25), (7, "b", 25)]
+    got = sorted((r.doc_id, r.text[0], r.n_removed) for r in remove_repeats(docs.where("doc_id is not null")).collect())
+    assert got == [(1, "a", 0), (7, "a", 25), (7, "b", 0), (7, "b", 0)]
+
+
+def test_the_pipeline_keeps_one_row_of_equal_ones(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{k}" for k in range(25)), " ".join(f"b{k}" for k in range(25))
+    docs = spark.createDataFrame([(1, a, "x", [1]), (1, a, "w", [2]), (2, a, "x", None), (3, b, "x", None), (3, b, "x", None), (3, "c d e f g h", "x", None), (None, a, "x", None), (None, a, "x", None)], "doc_id long, text string, _key string, more array<int>")
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text[0], r["_key"]) for r in got.collect()) == [(0, "a", "x"), (0, "a", "x"), (1, "a", "w"), (3, "b", "x"), (3, "c", "x")]
