@@ -7,11 +7,12 @@ stays in the filtering stages. An empty table gives empty results of the same co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from cairnfield.llm.chosen_path import near_copies
-from cairnfield.llm.common import fresh, table
+from cairnfield.llm.common import fresh, table, with_text_key
 from cairnfield.llm.contain import without_items
 from cairnfield.llm.langid import identify, train
 from cairnfield.llm.queries import tokenizer_path
@@ -36,10 +37,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of every group of near copies."""
+    """The least doc_id of every group of near copies, once.
+
+    Rows that share a doc_id but not the text are compared as documents of their own. Of rows that share
+    both, the one with the least other columns stays.
+    """
+    key, = fresh(docs, "_key")
+    keyed = with_text_key(docs.where("doc_id is not null"), key)
+    copies = near_copies(keyed.select(F.col(key).alias("doc_id"), "text"))
     # Rows that are alone in their group are most; only the others are named.
-    extra = cut(near_copies(docs).where("doc_id <> class_id").select("doc_id"))
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    extra = cut(copies.where("doc_id <> class_id").select(F.col("doc_id").alias(key)))
+    kept = keyed.join(extra, key, "left_anti")
+    again = cut(kept.groupBy(key).count().where("count > 1").select(key))
+    order = [F.col(f"`{c}`") for c in docs.columns if isinstance(docs.schema[c].dataType, AtomicType)]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    once = kept.join(again, key, "left_semi").withColumn(f"{key}_n", first).where(F.col(f"{key}_n") == 1)
+    rows = kept.join(again, key, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
