@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnfield.session import cut
+
 
 def cell(value: Column, size: float | Column) -> Column:
     return F.floor(value / size).cast("bigint")
@@ -54,3 +58,96 @@ def box_cells(df: DataFrame, size: float, left: str, top: str, right: str, botto
     return df.withColumn(
         "_cx", F.explode(F.sequence(cell(F.col(left), s), cell(F.col(right), s)))
     ).withColumn("_cy", F.explode(F.sequence(cell(F.col(top), s), cell(F.col(bottom), s))))
+
+
+#: Pairs that one cell, or one block of a cell that cannot be split, compares at most.
+LOAD = 1_000_000
+#: Sides of boxes from one size class to the next, and deepest split of a cell in one round.
+CLASS_STEP, DEEPEST, ROUNDS = 4, 5, 6
+
+
+def _boxes(df: DataFrame, box: tuple[Column, Column, Column, Column], size: float) -> DataFrame:
+    """Boxes as _x0 to _y1 and the size class in which one covers four cells at most."""
+    x0, y0, x1, y1 = box
+    rows = df.withColumns({"_x0": x0.cast("double"), "_y0": y0.cast("double"), "_x1": x1.cast("double"), "_y1": y1.cast("double")})
+    side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    return rows.withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log(float(CLASS_STEP), F.greatest(side, F.lit(1e-300)) / size))).cast("int"))
+
+
+def _spread(rows: DataFrame, classes: list[int], size: float) -> DataFrame:
+    """One row a box, size class from its own on and cell; cells are named by their size and place."""
+    up = rows.withColumn("_k", F.explode(F.filter(F.array(*[F.lit(k) for k in classes]), lambda k: k >= F.col("_own"))))
+    up = up.withColumn("_s", F.lit(size) * F.pow(F.lit(float(CLASS_STEP)), F.col("_k")))
+    across = up.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), F.col("_s")), cell(F.col("_x1"), F.col("_s")))))
+    return across.withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), F.col("_s")), cell(F.col("_y1"), F.col("_s")))))
+
+
+def _into_quarters(rows: DataFrame, heavy: DataFrame, at: list[str]) -> DataFrame:
+    """Rows of heavy cells in those of the cells' parts that their boxes meet; a cell is split ``_d`` times at once."""
+    c = F.col
+    n = F.pow(F.lit(2.0), c("_d")).cast("bigint")
+    part = c("_s") / n
+    down = rows.join(heavy.select(*at, "_d"), at).withColumns({"_n": n, "_t": part})
+    down = down.withColumn("_px", F.explode(F.sequence(F.greatest(cell(c("_x0"), c("_t")), c("_cx") * c("_n")), F.least(cell(c("_x1"), c("_t")), c("_cx") * c("_n") + c("_n") - 1))))
+    down = down.withColumn("_py", F.explode(F.sequence(F.greatest(cell(c("_y0"), c("_t")), c("_cy") * c("_n")), F.least(cell(c("_y1"), c("_t")), c("_cy") * c("_n") + c("_n") - 1))))
+    return down.withColumns({"_s": c("_t"), "_cx": c("_px"), "_cy": c("_py")}).drop("_d", "_n", "_t", "_px", "_py")
+
+
+def paired_boxes(
+    a: DataFrame, b: DataFrame, keys: list[str], box_a: tuple[Column, Column, Column, Column], box_b: tuple[Column, Column, Column, Column], size: float | None = None, load: int = LOAD, rounds: int = ROUNDS,
+) -> DataFrame:
+    """All pairs of rows of ``a`` and ``b`` with equal keys whose boxes (left, top, right, bottom) meet, each once.
+
+    Boxes are put into cells of their size. Cells are counted on both sides, and those with more than
+    ``load`` pairs are split in quarters, several times at once where the count says so, until none is
+    left or splitting no longer parts their boxes; what is crowded then is compared in blocks of
+    ``load`` pairs. A pair belongs to the one cell that holds the least corner of what its boxes share,
+    so no pair is met twice. Columns of ``a`` and ``b`` must differ except for the keys; null boxes
+    meet nothing.
+    """
+    c = F.col
+    if size is None:
+        side = lambda df, box: df.agg(F.avg(F.greatest(box[2] - box[0], box[3] - box[1]))).first()[0] or 1.0
+        size = max(side(a, box_a), side(b, box_b))
+    # Powers of two, so that cells of all sizes nest without rounding.
+    size = 2.0 ** math.ceil(math.log2(max(size, 1e-6)))
+    own, other = (_boxes(df, box, size).where("_x0 is not null and _y0 is not null and _x1 >= _x0 and _y1 >= _y0") for df, box in ((a, box_a), (b, box_b)))
+    # A handful of size classes, one value each.
+    classes = sorted(r[0] for r in own.select("_own").union(other.select("_own")).distinct().collect())
+    own, other = cut(_spread(own, classes, size)), cut(_spread(other, classes, size))
+    at = [*keys, "_k", "_s", "_cx", "_cy"]
+    done: list[tuple[DataFrame, DataFrame, int]] = []
+    # Rows are few beside their pairs, so tasks are dealt by pairs and not by bytes.
+    tasks = lambda pairs: max(1, min(1 << 15, int((pairs or 0) // load) + 1))
+    before = None
+    for step in range(rounds + 1):
+        n_own, n_other = own.groupBy(*at).agg(F.count("*").alias("_na")), other.groupBy(*at).agg(F.count("*").alias("_nb"))
+        met = cut(n_own.join(n_other, at).withColumn("_load", c("_na") * c("_nb")))
+        crowded = met.where(c("_load") > load)
+        every, total = met.agg(F.sum("_load"), F.sum(F.when(c("_load") > load, c("_load")))).first()
+        if total is None:
+            done.append((own, other, tasks(every)))
+            break
+        if step == rounds or (before is not None and total > before / 2):
+            # Their boxes lie on each other: blocks of both sides, so that no task gets a whole cell.
+            edge = max(1, math.isqrt(load))
+            blocks = met.select(*at, F.ceil(c("_na") / edge).alias("_ba"), F.ceil(c("_nb") / edge).alias("_bb")).where(c("_na") * c("_nb") > 0)
+            salt = lambda df: F.pmod(F.xxhash64(*(c(f"`{x}`") for x in df.columns if not x.startswith("_"))), F.lit(1 << 30))
+            mine = own.withColumn("_h", salt(a)).join(blocks, at).withColumn("_ia", c("_h") % c("_ba")).withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_bb") - 1))).drop("_h", "_ba", "_bb")
+            theirs = other.withColumn("_h", salt(b)).join(blocks, at).withColumn("_ib", c("_h") % c("_bb")).withColumn("_ia", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_ba") - 1))).drop("_h", "_ba", "_bb")
+            done.append((mine, theirs, tasks(every)))
+            break
+        calm = met.where(c("_load") <= load).select(*at)
+        done.append((own.join(calm, at, "left_semi"), other.join(calm, at, "left_semi"), tasks(every - total)))
+        heavy = crowded.select(*at, F.least(F.lit(DEEPEST), F.greatest(F.lit(1), F.ceil(F.log(4.0, c("_load") / load)))).cast("int").alias("_d"))
+        before = total
+        own, other = cut(_into_quarters(own, heavy, at)), cut(_into_quarters(other, heavy, at))
+    out = None
+    for mine, theirs, n in done:
+        on = [x for x in (*at, "_ia", "_ib") if x in mine.columns]
+        theirs = theirs.withColumnsRenamed({"_x0": "_u0", "_y0": "_v0", "_x1": "_u1", "_y1": "_v1", "_own": "_other"})
+        pairs = mine.repartition(n, *on).hint("merge").join(theirs.repartition(n, *on), on).where((F.greatest("_own", "_other") == c("_k")) & (c("_x0") <= c("_u1")) & (c("_u0") <= c("_x1")) & (c("_y0") <= c("_v1")) & (c("_v0") <= c("_y1")))
+        home = pairs.where((cell(F.greatest("_x0", "_u0"), c("_s")) == c("_cx")) & (cell(F.greatest("_y0", "_v0"), c("_s")) == c("_cy")))
+        part = home.select(*a.columns, *(x for x in b.columns if x not in keys))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from cairnfield.constants import METRIC_RADIUS_M
 from cairnfield.functions.geo import D2R, finite, haversine_m
 from cairnfield.functions.plane import crosses_ray, project_on_segment, segment_intersects_rect
 from cairnfield.functions.text import fixed
-from cairnfield.operators.grid import box_cells, point_cells, point_cells_around, segment_cells
+from cairnfield.operators.grid import LOAD, box_cells, paired_boxes, point_cells, point_cells_around, segment_cells
 from cairnfield.operators.ordered import number_rows, running, top_by, with_next
 from cairnfield.session import cut
 
@@ -311,14 +315,64 @@ def stations(v: DataFrame, step: float, pinned: DataFrame | None = None, keys: S
     ).select(*keys, "d", c("_p.x").alias("x"), c("_p.y").alias("y"), "pinned")
 
 
+#: Intervals that a task holds before it puts those of one key together.
+MERGE_ROWS = 1 << 19
+
+
+def _merged(table: pa.Table, keys: list[str]) -> pa.Table:
+    """Intervals of each key, those that meet as one. Keys are coded column by column, then sorted with their bounds."""
+    lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
+    codes = [pc.fill_null(pc.cast(table.column(k).combine_chunks().dictionary_encode().indices, pa.int64()), -1).to_numpy() for k in keys]
+    order = np.lexsort((lo, *codes[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in codes:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    group = np.cumsum(new)
+    lo, hi = lo[order], hi[order]
+    # Ranks of (key, hi) grow from key to key, so their running maximum never reaches into the next key.
+    by_hi = np.lexsort((hi, group))
+    rank = np.empty(len(order), np.int64)
+    rank[by_hi] = np.arange(len(order))
+    reach = hi[by_hi][np.maximum.accumulate(rank)] if len(order) else hi
+    first = new.copy()
+    first[1:] |= lo[1:] > reach[:-1]
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(order)) - 1 if len(at) else at
+    return pa.table([*(table.column(k).take(pa.array(order[at])) for k in keys), pa.array(lo[at]), pa.array(reach[last])], names=[*keys, "lo", "hi"])
+
+
+def merge_in_tasks(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fewer intervals with the same union: every task puts together those of one key that it holds."""
+    keys = list(keys)
+    slim = intervals.where("lo is not null and hi is not null").select(*keys, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    if not all(isinstance(slim.schema[k].dataType, AtomicType) for k in keys):
+        return slim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(len(t) for t in held) > MERGE_ROWS:
+                held = [_merged(pa.concat_tables(held), keys)]
+                if len(held[0]) > MERGE_ROWS // 2:
+                    yield from held.pop().to_batches(max_chunksize=1 << 16)
+        if held:
+            yield from _merged(pa.concat_tables(held), keys).to_batches(max_chunksize=1 << 16)
+
+    return slim.mapInArrow(run, slim.schema)
+
+
 def union_length(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Length covered by intervals (lo, hi) per key, overlaps once.
 
-    Ends are +1/-1 marks summed at equal positions, and the running count over the marks gives the
-    covered stretches; marks are numbered per key without gathering a key in one task.
+    Tasks first merge what they hold. Ends are +1/-1 marks summed at equal positions, and the running
+    count over the marks gives the covered stretches; marks are numbered per key without gathering a
+    key in one task.
     """
     c = F.col
     keys = list(keys)
+    intervals = cut(merge_in_tasks(intervals, keys))
     marks = intervals.select(*keys, c("lo").alias("at"), F.lit(1).alias("w")).unionByName(
         intervals.select(*keys, c("hi").alias("at"), F.lit(-1).alias("w"))
     )
@@ -442,19 +496,28 @@ def _within(df: DataFrame, tol: float) -> DataFrame:
     return rows.select(*df.columns, F.explode(F.array(hull)).alias("_i")).select(*df.columns, "_i.lo", "_i.hi").where("hi > lo")
 
 
-def capsule_intervals(a: DataFrame, b: DataFrame, tol: float, keys: Sequence[str], cell_size: float = 64.0) -> DataFrame:
+def capsule_intervals(a: DataFrame, b: DataFrame, tol: float, keys: Sequence[str], cell_size: float | None = None, load: int = LOAD) -> DataFrame:
     """For each segment of ``a`` (seg_id, x1..y2): the parameter interval within ``tol`` of each of ``b``.
 
-    Segments meet in shared cells; a pair that shares several cells is one row.
+    Segments meet in cells that are split where they are crowded; each pair is worked out once.
     """
     c = F.col
     keys = list(keys)
-    own = segment_cells(a.select(*keys, "seg_id", "x1", "y1", "x2", "y2"), cell_size, tol)
-    other = segment_cells(b.select(*keys, "seg_id", "x1", "y1", "x2", "y2"), cell_size).select(
-        *keys, c("seg_id").alias("other_id"), c("x1").alias("u1"), c("y1").alias("w1"), c("x2").alias("u2"), c("y2").alias("w2"), "_cx", "_cy"
-    )
-    pairs = own.join(other, [*keys, "_cx", "_cy"])
-    return _within(pairs, tol).select(*keys, "seg_id", "other_id", "lo", "hi").distinct()
+    own = a.select(*keys, "seg_id", "x1", "y1", "x2", "y2")
+    other = b.select(*keys, c("seg_id").alias("other_id"), c("x1").alias("u1"), c("y1").alias("w1"), c("x2").alias("u2"), c("y2").alias("w2"))
+    wide = (F.least("x1", "x2") - tol, F.least("y1", "y2") - tol, F.greatest("x1", "x2") + tol, F.greatest("y1", "y2") + tol)
+    tight = (F.least("u1", "u2"), F.least("w1", "w2"), F.greatest("u1", "u2"), F.greatest("w1", "w2"))
+    pairs = paired_boxes(own, other, keys, wide, tight, cell_size, load)
+
+    def crosses(p: tuple[str, str, str, str], q: tuple[str, str, str, str]) -> Column:
+        """Not all of p lies farther than ``tol`` to one side of q's line; a point has no line."""
+        nx, ny = c(q[1]) - c(q[3]), c(q[2]) - c(q[0])
+        one, two = (nx * (c(p[k]) - c(q[0])) + ny * (c(p[k + 1]) - c(q[1])) for k in (0, 2))
+        room = tol * (F.abs(nx) + F.abs(ny)) + 1e-9
+        return (F.least(one, two) <= room) & (F.greatest(one, two) >= -room)
+
+    line, side = ("x1", "y1", "x2", "y2"), ("u1", "w1", "u2", "w2")
+    return _within(pairs.where(crosses(line, side) & crosses(side, line)), tol).select(*keys, "seg_id", "other_id", "lo", "hi")
 
 
 def line_match(found: DataFrame, truth: DataFrame, tol: float, key: str = "map_id") -> DataFrame:
@@ -463,14 +526,14 @@ def line_match(found: DataFrame, truth: DataFrame, tol: float, key: str = "map_i
 
     def edges(v: DataFrame) -> DataFrame:
         e = segments(v.select(key, "line_id", "idx", "x", "y"), [key, "line_id"])
-        return e.withColumn("seg_id", F.struct("line_id", "seg")).withColumn("_l", F.hypot(c("x2") - c("x1"), c("y2") - c("y1")))
+        return cut(e.withColumn("seg_id", F.struct("line_id", "seg")).withColumn("_l", F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))))
 
     f, t = edges(found), edges(truth)
 
     def share(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        iv = capsule_intervals(own, other, tol, [key])
-        cov = union_length(iv, [key, "seg_id"])
-        rows = own.join(cov, [key, "seg_id"], "left")
+        iv = capsule_intervals(own, other, tol, [key]).select(key, "seg_id.line_id", "seg_id.seg", "lo", "hi")
+        cov = union_length(iv, [key, "line_id", "seg"])
+        rows = own.join(cov, [key, "line_id", "seg"], "left")
         agg = rows.groupBy(key).agg(F.sum("_l").alias("_t"), F.sum(F.coalesce("covered", F.lit(0.0)) * c("_l")).alias("_m"))
         return agg.select(key, F.when(c("_t") > 0, F.least(F.lit(1.0), c("_m") / F.nullif(c("_t"), F.lit(0.0)))).otherwise(1.0).alias(name))
 
