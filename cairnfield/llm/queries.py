@@ -161,24 +161,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.conversations(cut(mail(spark, sf)))
 
 
-#: Batches of the rollup's query: all documents arrive, source src1 is deleted, language fr is revised to another source.
-_TOTALS_SQL = r"""SELECT source, lang, version, CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(n) AS BIGINT) AS tokens, CAST(SUM(chars) AS BIGINT) AS chars FROM (
- SELECT CASE WHEN lang = 'fr' AND doc_id % 3 = 0 AND version = 'words-1' THEN 'moved' ELSE source END AS source, lang, version,
-  CASE version WHEN 'words-1' THEN len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) ELSE length(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+', 'a', 'g'), '[\x20\x09-\x0D]+', '', 'g')) END AS n, length(coalesce(text, '')) AS chars
- FROM documents, (SELECT unnest(['words-1', 'marks-1']) AS version) WHERE source IS DISTINCT FROM 'src1') GROUP BY source, lang, version"""
+#: Batches of the rollup's query: all documents arrive, the least source is deleted, and texts of the least language
+#: that others have grow by a line and move to another source, in both tokenizer versions.
+_TOTALS_SQL = r"""WITH gone AS (SELECT MIN(source) AS s FROM documents), moved AS (SELECT MIN(lang) AS l FROM documents, gone WHERE source IS DISTINCT FROM s),
+d AS (SELECT CASE WHEN lang = l THEN 'moved' ELSE source END AS source, lang, coalesce(text, '') || CASE WHEN lang = l THEN chr(10) || 'Second edition, revised.' ELSE '' END AS text FROM documents, gone, moved WHERE source IS DISTINCT FROM s)
+SELECT source, lang, version, CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(n) AS BIGINT) AS tokens, CAST(SUM(chars) AS BIGINT) AS chars FROM (
+ SELECT source, lang, version,
+  CASE version WHEN 'words-1' THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ELSE length(regexp_replace(regexp_replace(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+', 'a', 'g'), '[\x20\x09-\x0D]+', '', 'g')) END AS n, length(text) AS chars
+ FROM d, (SELECT unnest(['words-1', 'marks-1']) AS version)) GROUP BY source, lang, version"""
 
 
 @query("op10_token_rollup", _TOTALS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     kept = rollup.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
-    both = rollup.counted(docs, "words-1").unionByName(rollup.counted(docs, "marks-1"))
-    kept.apply(1, both)
-    gone = docs.where("source = 'src1'").select("doc_id", F.lit("delete").alias("op"), "source", "lang", F.explode(F.array(F.lit("words-1"), F.lit("marks-1"))).alias("version"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("chars"))
-    kept.apply(2, gone)
-    moved = docs.where("lang = 'fr' and doc_id % 3 = 0 and not (source <=> 'src1')").withColumn("source", F.lit("moved"))
-    kept.apply(3, rollup.counted(moved, "words-1", "revise"))
-    kept.apply(2, gone)  # a repeated delivery changes nothing
+    both = lambda rows, op: rollup.counted(rows, "words-1", op).unionByName(rollup.counted(rows, "marks-1", op))
+    kept.apply(1, both(docs, "insert"))
+    source = docs.agg(F.min("source")).first()[0]
+    gone = docs.where(F.col("source") == source)
+    kept.apply(2, both(gone.withColumn("text", F.lit(None).cast("string")), "delete"))
+    others = docs.where(~F.col("source").eqNullSafe(F.lit(source)))
+    lang = others.agg(F.min("lang")).first()[0]
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nSecond edition, revised."))
+    moved = others.where(F.col("lang") == lang).withColumns({"source": F.lit("moved"), "text": text})
+    kept.apply(3, both(moved, "revise"))
+    kept.apply(3, both(moved, "revise"))  # a repeated delivery changes nothing
     return kept.totals()
 
 

@@ -1,7 +1,8 @@
 """Delta-maintained token counts: signed changes by batch, additive totals, idempotent commits.
 
 The store is a folder with two ledgers. ``entries`` has the signed rows of every batch by document:
-an insert adds one, a delete takes the standing one away, a revision does both. ``deltas`` has their
+an insert adds one, a delete takes the standing one away, a revision does both; they lie in slots by a
+hash of doc_id, and a batch reads only the slots and documents that it changes. ``deltas`` has their
 sums by source, language and tokenizer version. A batch writes both under its own number and then a
 commit row; a batch whose commit row exists is not applied again, and what a failed attempt left
 without one is overwritten. Totals are sums over committed deltas, so they never need a rescan.
@@ -12,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Slots of the ledger; a store keeps the number that it was begun with.
+SLOTS = 64
 ENTRY = "doc_id long, source string, lang string, version string, docs long, tokens long, chars long"
 DELTA = "source string, lang string, version string, docs long, tokens long, chars long"
-COMMIT = "batch long, changed long"
+COMMIT = "batch long, changed long, slots int"
 KEYS = ("source", "lang", "version")
 SUMS = ("docs", "tokens", "chars")
 
@@ -35,8 +38,11 @@ COUNTERS = {"words-1": count_words, "marks-1": count_marks}
 class Rollup:
     """Totals kept in ``folder``, a path that all executors reach."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, slots: int = SLOTS):
+        self.spark, self.folder, self.slots = spark, folder.rstrip("/"), slots
+
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.slots)).cast("int")
 
     def _read(self, part: str, schema: str) -> DataFrame:
         path = f"{self.folder}/{part}"
@@ -52,9 +58,18 @@ class Rollup:
         # One number a batch: as many rows as batches were ever applied, joined by size.
         return self._read(part, schema).join(self.committed(), "batch", "left_semi")
 
-    def standing(self, but: int | None = None) -> DataFrame:
-        """What each document counts for now, one row a document and tokenizer version; without batch ``but``."""
-        entries = self._of_committed("entries", ENTRY).where(F.lit(True) if but is None else F.col("batch") != but)
+    def standing(self, but: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """What each document counts for now, one row a document and tokenizer version.
+
+        ``but`` leaves out a batch; ``only`` (doc_id, version) reads the ledger's rows of these documents alone.
+        """
+        entries = self._of_committed("entries", f"{ENTRY}, slot int").where(F.lit(True) if but is None else F.col("batch") != but)
+        if only is not None:
+            # As many numbers as there are slots at most; a small batch opens few of the ledger's folders.
+            slots = [r.slot for r in only.select(self._slot().alias("slot")).distinct().collect()]
+            if len(slots) < self.slots:
+                entries = entries.where(F.col("slot").isin(slots))
+            entries = entries.join(only, ["doc_id", "version"], "left_semi")
         # A document's signed rows sum to nothing but in the group that it stands in.
         return entries.groupBy("doc_id", *KEYS).agg(*(F.sum(x).alias(x) for x in SUMS)).where("docs <> 0")
 
@@ -68,20 +83,26 @@ class Rollup:
         id, op or version are left out; null source and language are groups of their own, and null
         counts are zero.
         """
-        if not self.committed().where(F.col("batch") == batch).isEmpty():
+        commits = self._read("commits", COMMIT)
+        begun = commits.select("slots").first()
+        if begun and begun.slots != self.slots:
+            raise ValueError(f"this store has {begun.slots} slots")
+        if not commits.where(F.col("batch") == batch).isEmpty():
             return False
         known = changes.where("doc_id is not null and op in ('insert', 'revise', 'delete') and version is not null")
         rank = F.struct((F.col("op") == "delete").alias("gone"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("chars", F.lit(0)).cast("long").alias("chars"), "source", "lang")
         new = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(F.max(rank).alias("c"))
         plus = new.where("not c.gone").select("doc_id", "c.source", "c.lang", "version", F.lit(1).cast("long").alias("docs"), "c.tokens", "c.chars")
-        minus = self.standing(batch).join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi").select("doc_id", *KEYS, *(-F.col(x) for x in SUMS)).toDF("doc_id", *KEYS, *SUMS)
+        minus = self.standing(batch, new.select("doc_id", "version")).select("doc_id", *KEYS, *(-F.col(x) for x in SUMS)).toDF("doc_id", *KEYS, *SUMS)
         path = f"{self.folder}/entries/batch={int(batch)}"
-        plus.unionByName(minus).write.mode("overwrite").parquet(path)
+        # Slots together, large ones in several files; static, or an attempt's other slots would outlive it.
+        rows = plus.unionByName(minus).withColumn("slot", self._slot()).hint("rebalance", "slot")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slot").parquet(path)
         entries = self.spark.read.schema(ENTRY).parquet(path)
         # Partial sums in every task: a hot source leaves a task as a few rows.
         delta = entries.groupBy(*KEYS).agg(*(F.sum(x).alias(x) for x in SUMS)).where("docs <> 0 or tokens <> 0 or chars <> 0")
         delta.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={int(batch)}")
-        self.spark.createDataFrame([(int(batch), entries.count())], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/of={int(batch)}")
+        self.spark.createDataFrame([(int(batch), entries.count(), self.slots)], COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/of={int(batch)}")
         return True
 
     def totals(self) -> DataFrame:

@@ -79,6 +79,26 @@ def test_failed_attempt_is_not_counted(spark, tmp_path):
     assert totals(store) == {("a", "en", "v1"): (1, 4, 4)}
 
 
+def test_a_small_batch_reads_its_own_slots(spark, tmp_path):
+    store = rollup.Rollup(spark, str(tmp_path / "store"), slots=16)
+    rows = [(k, "insert", "a", "en", "v1", 2, 3) for k in range(400)]
+    store.apply(1, spark.createDataFrame(rows, CHANGES))
+    with pytest.raises(ValueError):
+        rollup.Rollup(spark, str(tmp_path / "store"), slots=8).apply(2, spark.createDataFrame(rows, CHANGES))
+    only = spark.createDataFrame([(17, "v1"), (900, "v1")], "doc_id long, version string")
+    standing = store.standing(only=only)
+    assert [(r.doc_id, r.docs, r.tokens) for r in standing.collect()] == [(17, 1, 2)]
+    slots = {f.split("/slot=")[1].split("/")[0] for f in standing.inputFiles() if "/slot=" in f}
+    assert len(slots) == 16
+    plan = standing._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "slot" in plan.split("PartitionFilters")[1]
+    # A failed attempt's slots do not outlive it.
+    store.apply(1, spark.createDataFrame(rows, CHANGES))
+    spark.createDataFrame([(k, "b", "en", "v1", 1, 9, 9, k) for k in range(16)], rollup.ENTRY + ", slot int").write.partitionBy("slot").parquet(str(tmp_path / "store/entries/batch=2"))
+    assert store.apply(2, spark.createDataFrame([(5, "revise", "a", "en", "v1", 7, 7)], CHANGES))
+    assert totals(store) == {("a", "en", "v1"): (400, 399 * 2 + 7, 399 * 3 + 7)} and store.standing().count() == 400
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     rng = random.Random(8)
