@@ -46,18 +46,73 @@ def _thin_once(m: np.ndarray) -> bool:
     return changed
 
 
-def _drop_corners(m: np.ndarray) -> None:
-    """Remove staircase corners in scan order, in place, each seeing earlier removals."""
-    p = np.pad(m, 1)
-    for y, x in zip(*np.nonzero(m)):
-        y, x = y + 1, x + 1
-        n, e, s, w = p[y - 1, x], p[y, x + 1], p[y + 1, x], p[y, x - 1]
-        if (
-            (n and e and not s and not w and not p[y + 1, x - 1]) or (e and s and not n and not w and not p[y - 1, x - 1])
-            or (s and w and not n and not e and not p[y - 1, x + 1]) or (w and n and not e and not s and not p[y + 1, x + 1])
-        ):
-            p[y, x] = False
-    m[:] = p[1:-1, 1:-1]
+def _settle_corners(m: np.ndarray, open_: np.ndarray, own: slice) -> None:
+    """Remove staircase corners as a scan by rows would, in place, as far as the known cells allow.
+
+    ``m`` has the cells that are there and ``open_`` those of them that are not decided yet. A cell is
+    kept at once where no outcome of its earlier neighbours (west and the row above) makes it a corner,
+    and judged once they all are decided. Its later neighbours wait for it, so they are still there. All
+    ready cells are judged together; cells outside ``own`` are looked at only.
+    """
+    side = m.shape[1] + 2
+    there, waits = np.pad(m, 1).ravel(), np.pad(open_, 1).ravel()
+    inner = np.zeros_like(m)
+    inner[own, own] = True
+    todo = np.flatnonzero(np.pad(inner & open_, 1).ravel())
+    while len(todo):
+        look = lambda step: (there[todo + step], waits[todo + step])
+        (n, un), (w, uw), (ne, une), (nw, unw) = look(-side), look(-1), look(1 - side), look(-1 - side)
+        e, s, sw, se = there[todo + 1], there[todo + side], there[todo + side - 1], there[todo + side + 1]
+        no_n, no_w = ~n | un, ~w | uw
+        corner = (n & e & ~s & no_w & ~sw) | (e & s & no_n & no_w & (~nw | unw)) | (s & w & no_n & ~e & (~ne | une)) | (w & n & ~e & ~s & ~se)
+        ready = ~(un | uw | une | unw)
+        there[todo[corner & ready]] = False
+        settled = ready | ~corner
+        if not settled.any():
+            break
+        waits[todo[settled]] = False
+        todo = todo[~settled]
+    m[:], open_[:] = there.reshape(-1, side)[1:-1, 1:-1], (there & waits).reshape(-1, side)[1:-1, 1:-1]
+
+
+def _drop_corners(cells: DataFrame) -> DataFrame:
+    """Cells without staircase corners, the same for every size of block.
+
+    A round settles every block as far as its neighbours' decided cells reach; only blocks with undecided cells
+    go into the next round, with one ring of cells around them. A chain of corners costs a round a border
+    that it crosses.
+    """
+    c, size = F.col, BLOCK
+    home = {"_bx": F.floor(c("x") / size), "_by": F.floor(c("y") / size)}
+    at = [*MASK, "_bx", "_by"]
+    kinds = dict(cells.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in MASK) + ", x int, y int, open boolean, own boolean"
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, top = int(pdf["_bx"].iloc[0]) * size - 1, int(pdf["_by"].iloc[0]) * size - 1
+        m, open_ = np.zeros((size + 2, size + 2), bool), np.zeros((size + 2, size + 2), bool)
+        y, x = pdf["y"].to_numpy() - top, pdf["x"].to_numpy() - left
+        m[y, x], open_[y, x] = True, pdf["open"].to_numpy(dtype=bool)
+        _settle_corners(m, open_, slice(1, -1))
+        y, x = np.nonzero(m[1:-1, 1:-1])
+        out = {k: pdf[k].iloc[0] for k in MASK}
+        out.update(x=(x + left + 1).astype("int32"), y=(y + top + 1).astype("int32"), open=open_[y + 1, x + 1], own=True)
+        return pd.DataFrame(out, index=range(len(x)))
+
+    around = lambda v: F.array_distinct(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.floor((c(v) + k) / size)))
+    spread = lambda df: df.withColumn("_bx", F.explode(around("x"))).withColumn("_by", F.explode(around("y")))
+    state = cut(cells.select(*MASK, "x", "y").withColumns({"open": F.lit(True), "own": F.lit(True)}))
+    done = None
+    while True:
+        left = state.where("own and open").withColumns(home).select(*at).distinct()
+        closed = state.withColumns(home).join(left, at, "left_anti").drop("_bx", "_by")
+        part = closed.where("own").select(*MASK, "x", "y")
+        done = part if done is None else done.unionByName(part)
+        if state.where("own and open").isEmpty():
+            return done
+        ring = spread(closed).join(left, at, "left_semi").drop("_bx", "_by").distinct().withColumn("own", F.lit(False))
+        moved = spread(state).join(left, at, "left_semi").groupBy(*at).applyInPandas(settle, schema)
+        state = cut(moved.unionByName(ring))
 
 
 def _in_blocks(mask: DataFrame, work, extra: str) -> DataFrame:
@@ -97,20 +152,15 @@ def _many_rounds(m: np.ndarray) -> bool:
     return changed
 
 
-def _corner_work(m: np.ndarray) -> bool:
-    _drop_corners(m)
-    return False
-
-
 def thin(mask: DataFrame) -> DataFrame:
-    """One-cell-wide skeleton. Every pass does sixteen exact rounds per block, until none deletes."""
+    """One-cell-wide skeleton. Every pass does sixteen exact rounds per block, until none deletes; corners go last."""
     cells = mask.select(*MASK, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
     while True:
         out = cut(_in_blocks(cells, _many_rounds, ", changed boolean"))
         cells = out.drop("changed")
         if out.where("changed").limit(1).isEmpty():
             break
-    return _in_blocks(cells, _corner_work, "")
+    return _drop_corners(cells)
 
 
 def _key(map_cols: list[str] = MASK) -> Column:
@@ -125,7 +175,7 @@ def skeleton_graph(skeleton: DataFrame, factor: int = 1) -> dict[str, DataFrame]
     in pixels, a cell being ``factor`` pixels wide. Column ``raster`` is (map_id, chip_id), cells are numbers in row-major order.
     """
     c = F.col
-    wide = 1 << 20
+    wide = 1 << 31
     code = lambda x, y: (c(y).cast("bigint") * wide + c(x)).alias("cell")
     cells = cut(skeleton.select(_key().alias("raster"), *MASK, code("x", "y"), "x", "y"))
     pairs = neighbours8(cells).select("raster", c("cell"), (c("ny").cast("bigint") * wide + c("nx")).alias("other"))

@@ -1,6 +1,8 @@
 import xml.dom.minidom
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cairnfield.operators import trace as T
@@ -47,19 +49,54 @@ def test_project_versions(spark):
     assert {r.map_id: r.route_kind for r in P.tables(ok)["features"].collect()} == {3: None, 4: "one-way"}
 
 
+def scan_corners(m):
+    """Staircase corners removed cell by cell in scan order, each seeing earlier removals."""
+    p = np.pad(m, 1)
+    for y, x in zip(*np.nonzero(p)):
+        n, e, s, w = p[y - 1, x], p[y, x + 1], p[y + 1, x], p[y, x - 1]
+        if (n and e and not (s or w or p[y + 1, x - 1])) or (e and s and not (n or w or p[y - 1, x - 1])) or (s and w and not (n or e or p[y - 1, x + 1])) or (w and n and not (e or s or p[y + 1, x + 1])):
+            p[y, x] = False
+    m[:] = p[1:-1, 1:-1]
+
+
 def test_thinning_blocks_equal_whole(spark, monkeypatch):
     m = np.zeros((60, 90), bool)
     m[5:55, 10:24] = m[20:30, 10:80] = True
     want = m.copy()
     while T._thin_once(want):
         pass
-    T._drop_corners(want)
+    scan_corners(want)
     monkeypatch.setattr(T, "BLOCK", 16)
     rows = [(1, 1, int(x), int(y)) for y, x in zip(*np.nonzero(m))]
     got = T.thin(spark.createDataFrame(rows, "map_id int, chip_id int, x int, y int"))
     assert {(r.y, r.x) for r in got.collect()} == set(zip(*map(list, np.nonzero(want))))
 
 
+def test_corners_settle_as_a_scan_does():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        m = rng.random((13, 17)) < rng.choice([0.3, 0.5, 0.7])
+        want, open_ = m.copy(), m.copy()
+        scan_corners(want)
+        T._settle_corners(m, open_, slice(0, None))
+        assert (m == want).all() and not open_.any()
+
+
+@pytest.mark.parametrize("block", [64, 256, 4096])
+def test_long_staircases_in_blocks_of_any_size(spark, monkeypatch, block):
+    k = np.arange(1000)
+    m = np.zeros((1010, 1300), bool)
+    m[k, k + 3] = m[k, k + 4] = True
+    m[k, 1290 - k] = m[k, 1291 - k] = True
+    want = m.copy()
+    scan_corners(want)
+    assert 0 < want.sum() < m.sum()
+    monkeypatch.setattr(T, "BLOCK", block)
+    rows = spark.createDataFrame(pd.DataFrame({"map_id": 1, "chip_id": 1, "x": np.nonzero(m)[1], "y": np.nonzero(m)[0]}))
+    got = T._drop_corners(rows.selectExpr("map_id", "chip_id", "cast(x as int) x", "cast(y as int) y")).toPandas()
+    assert set(zip(got.y, got.x)) == set(zip(*np.nonzero(want)))
+
+
 def test_request_rates_stream_equals_batch(spark, tmp_path):
     rows = [("s" if i % 3 else "t", 1, "k", i * 100, 1, 200, 10 + i) for i in range(40)]
     df = spark.createDataFrame(rows, "source_id string, map_id bigint, key string, s bigint, attempt int, status int, bytes bigint")
