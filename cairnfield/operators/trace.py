@@ -308,10 +308,10 @@ def bridge_links(graph: dict[str, DataFrame], gap: float, reach: Column) -> Data
 def _with_edges(graph: dict[str, DataFrame], new: DataFrame, kind: int) -> dict[str, DataFrame]:
     """Add straight edges between nodes, numbered by their own position within a kind.
 
-    Edge ids are cell numbers below 2^50; each kind of added edge has a range of its own above.
+    Edge ids are cell numbers below 2^62; the two kinds of added edges have ranges of their own above.
     """
     c = F.col
-    new = cut(number_rows(new, ["raster"], [c("a"), c("b")], "edge", start=kind << 50))
+    new = cut(number_rows(new, ["raster"], [c("a"), c("b")], "edge", start=(1 << 62) + ((kind - 1) << 61)))
     edges = graph["edges"].unionByName(new.select("raster", "edge", "a", "b", "len"))
     ends = new.select("raster", "edge", F.posexplode(F.array("a", "b")).alias("idx", "node")).join(graph["nodes"], ["raster", "node"])
     points = graph["points"].unionByName(ends.select("raster", "edge", c("idx").cast("bigint").alias("idx"), "x", "y"))

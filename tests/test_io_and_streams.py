@@ -1,3 +1,5 @@
+import random
+import time
 import xml.dom.minidom
 
 import numpy as np
@@ -97,6 +99,13 @@ def test_long_staircases_in_blocks_of_any_size(spark, monkeypatch, block):
     assert set(zip(got.y, got.x)) == set(zip(*np.nonzero(want)))
 
 
+def test_columns_of_wide_rasters_stay_apart(spark):
+    wide = 1 << 20
+    cells = [(1, 1, wide + k, 0) for k in range(4)] + [(1, 1, k, 1) for k in range(4)]
+    graph = T.skeleton_graph(spark.createDataFrame(cells, "map_id int, chip_id int, x int, y int"))
+    assert graph["edges"].count() == 2 and graph["nodes"].count() == 4
+
+
 def test_request_rates_stream_equals_batch(spark, tmp_path):
     rows = [("s" if i % 3 else "t", 1, "k", i * 100, 1, 200, 10 + i) for i in range(40)]
     df = spark.createDataFrame(rows, "source_id string, map_id bigint, key string, s bigint, attempt int, status int, bytes bigint")
@@ -113,16 +122,31 @@ def test_request_rates_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in want.collect()}
 
 
-def test_cell_change_stream_equals_batch(spark, tmp_path):
-    rows = [(i % 3, i, i, 27.0 + (i % 7) * 0.002, -80.3) for i in range(60)]
-    df = spark.createDataFrame(rows, "device_id bigint, event_id bigint, s bigint, lat double, lon double").withColumn("ts", F.timestamp_seconds("s")).withColumn("accuracy_m", F.lit(1.0))
-    df.select("device_id", "ts", "lat", "lon", "accuracy_m").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = S.cell_changes_stream(S.fixes(spark, str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("cells").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+@pytest.mark.parametrize("idle_s", [None, 900.0])
+def test_cell_changes_of_shuffled_fixes_equal_batch(spark, tmp_path, idle_s):
+    """Fixes arrive up to eight minutes late in five micro-batches; one comes after the watermark."""
+    rng = random.Random(6)
+    fixes = [(d, 20 * k + d + (3000 if k > 40 else 0), 27.0 + (k // 4 % 3) * 0.002) for d in (1, 2, 3) for k in range(80)]
+    arrived = sorted(fixes, key=lambda f: f[1] + rng.uniform(0, 480))
+    batches = [arrived[k:k + 48] for k in range(0, 240, 48)] + [[(99, 50_000, 27.0)], [(99, 50_001, 27.0)], [(1, 30, 28.0), (99, 90_000, 27.0)], [(99, 90_001, 27.0)]]
+    frame = lambda rows: spark.createDataFrame([(*r, -80.3, 1.0) for r in rows], "device_id bigint, s bigint, lat double, lon double, accuracy_m double").withColumn("ts", F.timestamp_seconds("s"))
+    for rows in batches:
+        frame(rows).select("device_id", "ts", "lat", "lon", "accuracy_m").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    read = spark.readStream.schema(S.FIX_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = S.cell_changes_stream(S.usable_fixes(read).withWatermark("ts", "10 minutes"), idle_s)
+    name = f"cells_{'all' if idle_s is None else 'idle'}"
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     q.processAllAvailable()
+    progress = q.recentProgress
     q.stop()
-    got = {(r.device_id, r.ts) for r in spark.table("cells").collect()}
-    assert got == {(r.device_id, r.ts) for r in S.cell_changes(df).collect()}
+    got = sorted((r.device_id, r.ts, r.cell_x, r.cell_y) for r in spark.table(name).where("device_id < 99").collect())
+    want = S.cell_changes(frame(fixes).withColumn("event_id", F.col("s")), idle_s=idle_s)
+    assert got == sorted((r.device_id, r.ts, r.cell_x, r.cell_y) for r in want.collect()) and len(got) == (60 if idle_s is None else 63)
+    assert sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators) == 1
+    total = progress[-1].stateOperators[0].numRowsTotal
+    # Idle devices have ended; without an end their last cells stay.
+    assert total <= 8 if idle_s else total >= 3
 
 
 def test_pixels_of_a_png_and_a_broken_file(spark, tmp_path):
