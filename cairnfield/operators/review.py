@@ -191,11 +191,11 @@ def line_ink(v: DataFrame, px: DataFrame, maps: DataFrame, corridor: int, tolera
     return out.select(*LINE, "stations", pick("r").alias("ink_r"), pick("g").alias("ink_g"), pick("b").alias("ink_b"))
 
 
-def refine_lines(v: DataFrame, px: DataFrame, maps: DataFrame, inks: DataFrame, corridor: float, tolerance: float, pinned: DataFrame | None = None) -> DataFrame:
-    """Stations every 60 pixels, moved to the best ink pixel in the corridor; ends and pinned ones stay.
+def moved_stations(v: DataFrame, px: DataFrame, inks: DataFrame, corridor: float, tolerance: float, pinned: DataFrame | None = None) -> DataFrame:
+    """Stations every 60 pixels, numbered, moved to the best ink pixel in the corridor; ends and pinned ones stay.
 
-    Each row also says whether the run that leads to it is supported: at least 60 % of its samples,
-    taken every 10 pixels on the straight line between stations, match the ink.
+    Stored. The best pixel is the one whose colour, with a price for its distance, is nearest to the
+    line's ink, and only one that is within ``tolerance`` moves a station.
     """
     c = F.col
     st = cut(number_rows(stations(v.select(*LINE, "idx", "x", "y"), 60.0, pinned), LINE, [c("d")], "idx", start=0).join(inks, LINE))
@@ -207,7 +207,17 @@ def refine_lines(v: DataFrame, px: DataFrame, maps: DataFrame, inks: DataFrame,
     cost = tint + F.hypot(c("x") - c("sx"), c("y") - c("sy")) * (tolerance / max(1.0, corridor))
     best = met.where(boxed).withColumn("_c", cost).where(c("_c") <= tolerance).groupBy(*LINE, "idx").agg(F.min(F.struct("_c", "y", "x")).alias("b"))
     moved = st.join(best, [*LINE, "idx"], "left").withColumn("x", F.coalesce(c("b.x").cast("double"), "x")).withColumn("y", F.coalesce(c("b.y").cast("double"), "y"))
-    moved = cut(moved.drop("b"))
+    return cut(moved.drop("b"))
+
+
+def refine_lines(v: DataFrame, px: DataFrame, maps: DataFrame, inks: DataFrame, corridor: float, tolerance: float, pinned: DataFrame | None = None) -> DataFrame:
+    """Stations every 60 pixels, moved to the best ink pixel in the corridor; ends and pinned ones stay.
+
+    Each row also says whether the run that leads to it is supported: at least 60 % of its samples,
+    taken every 10 pixels on the straight line between stations, match the ink.
+    """
+    c = F.col
+    moved = moved_stations(v, px, inks, corridor, tolerance, pinned)
     runs = with_next(moved, LINE, {"x": "px0", "y": "py0"}, back=True).where("px0 is not null")
     n = F.greatest(F.lit(1), F.ceil(F.hypot(c("x") - c("px0"), c("y") - c("py0")) / 10))
     walk = runs.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_n"))))

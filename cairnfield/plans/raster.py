@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnfield.constants import CHIP_MERGE_DISTANCE, CLUSTER_DISTANCE
 from cairnfield.functions.color import color_bin
+from cairnfield.operators import corridor as K
 from cairnfield.operators import pixels as P
 from cairnfield.operators import review as R
 from cairnfield.operators import trace as T
@@ -506,3 +507,15 @@ def _(spark, sf):
     v = _line_vertices(spark, sf).withColumnRenamed("line", "feature_id")
     inks = v.select("map_id", "feature_id").distinct().withColumns({"ink_r": F.lit(30), "ink_g": F.lit(60), "ink_b": F.lit(200)})
     return rounded(R.refine_lines(v, C.pixels(spark, sf), _maps(spark, sf), inks, 6.0, 40.0), ["d", "x", "y", "confidence"], 4)
+
+
+@query("t15_refine_paths")
+def _(spark, sf):
+    # Slanted strokes run three columns left a row down; hand lines stray from them by up to four pixels.
+    top = _maps(spark, sf).select("map_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("feature_id"))
+    v = top.select("map_id", c("feature_id").cast("bigint").alias("feature_id"), F.explode(F.sequence(F.lit(0), F.lit(13))).alias("i"))
+    x = c("i") * 10.0 + 8
+    v = v.select("map_id", "feature_id", c("i").cast("bigint").alias("idx"), x.alias("x"), ((41 - x) / 3 + c("feature_id") * 40 / 3 + 27 + F.pmod(c("i") * 5 + c("map_id"), F.lit(9)) - 4).alias("y"))
+    inks = v.select("map_id", "feature_id").distinct().withColumns({"ink_r": F.lit(200), "ink_g": F.lit(30), "ink_b": F.lit(30)})
+    out = K.refine_paths(v, C.pixels(spark, sf), _maps(spark, sf), inks, 8.0, 60.0)["vertices"]
+    return rounded(out, ["x", "y"], 4)
