@@ -354,6 +354,13 @@ def boundary_feature(boundaries: DataFrame, plans: DataFrame) -> DataFrame:
     return rows.select("map_id", "idx", (world_x(c("lon"), c("z")) - c("origin_x")).alias("x"), (world_y(c("lat"), c("z")) - c("origin_y")).alias("y"))
 
 
+def attempt_state(attempt: Column, status: Column) -> Column:
+    """What an attempt leaves its key in if it is the last one."""
+    again = (status == 408) | (status == 429) | (status >= 500)
+    ok = (status >= 200) & (status < 300)
+    return F.when(ok, "completed").when(again & (attempt < MAX_ATTEMPTS), "retry").otherwise("missing")
+
+
 def retry_plan(log: DataFrame) -> DataFrame:
     """Outcome of every key after its last attempt and, if it will be retried, the delay.
 
@@ -362,10 +369,7 @@ def retry_plan(log: DataFrame) -> DataFrame:
     c = F.col
     last = log.groupBy("map_id", "key").agg(F.max(F.struct("attempt", "ts", "status", "retry_after_s", "u")).alias("l"))
     rows = last.select("map_id", "key", "l.*")
-    again = (c("status") == 408) | (c("status") == 429) | (c("status") >= 500)
-    ok = (c("status") >= 200) & (c("status") < 300)
-    state = F.when(ok, "completed").when(again & (c("attempt") < MAX_ATTEMPTS), "retry").otherwise("missing")
-    rows = rows.withColumn("state", state)
+    rows = rows.withColumn("state", attempt_state(c("attempt"), c("status")))
     delay = F.when(c("state") == "retry", retry_delay_ms(c("attempt"), c("retry_after_s"), c("u")))
     return rows.select("map_id", "key", "attempt", "status", "state", delay.alias("delay_ms"))
 
